@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowseq.llm import pii, token_count, toxicity, url_filter
+from flowseq.llm import decontaminate, packing, pii, quotes, simhash, substring_dedup, token_count, topk_search, toxicity, url_filter
 from flowseq.llm.common import table
 
 #: Tokens a training sequence holds.
@@ -26,6 +26,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=SEQUENCE)
 
@@ -34,18 +42,87 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), sequence=SEQUENCE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_decontamination": op2_decontamination,
+    "op3_quotations": op3_quotations,
     "op4_token_counts": op4_token_counts,
     "op5_url_rules": op5_url_rules,
+    "op6_topk": op6_topk,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quotations": """
+        WITH RECURSIVE
+        m AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations),
+        l AS (
+          SELECT conv_id, turn, text, i, string_split(text, chr(10))[i] AS line
+          FROM (SELECT DISTINCT conv_id, turn, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM m)),
+        q AS (
+          SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*(>[ \t]*)+', 0), '[^>]', '', 'g')) AS level,
+                 substr(line, length(regexp_extract(line, '^[ \t]*(>[ \t]*)+', 0)) + 1) AS body FROM l),
+        own AS (
+          SELECT conv_id, turn, text, coalesce(regexp_replace(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '') AS body
+          FROM q GROUP BY ALL),
+        units AS (
+          SELECT conv_id, turn, body AS u FROM own
+          UNION ALL SELECT conv_id, turn, unnest(regexp_split_to_array(body, '\n[ \t\r]*\n')) FROM own
+          UNION ALL SELECT conv_id, turn, unnest(string_split(body, chr(10))) FROM own),
+        f AS (SELECT conv_id, turn, trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g'), ' ') AS words FROM units),
+        o AS (SELECT conv_id, words, min(turn) AS original FROM f WHERE words <> '' GROUP BY ALL),
+        r AS (SELECT *, level IS DISTINCT FROM lag(level) OVER (PARTITION BY conv_id, turn, text ORDER BY i) AS turned FROM q),
+        s AS (SELECT *, sum(CAST(turned AS INT)) OVER (PARTITION BY conv_id, turn, text ORDER BY i) AS run FROM r),
+        p AS (SELECT conv_id, turn, text, run, level, string_agg(body, chr(10) ORDER BY i) AS raw FROM s WHERE level > 0 GROUP BY ALL),
+        pn AS (SELECT conv_id, turn, level, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g'), ' ') AS words FROM p),
+        k AS (
+          SELECT pn.conv_id, pn.turn, pn.level, length(pn.words) AS size, o.original
+          FROM pn JOIN o ON pn.conv_id = o.conv_id AND pn.words = o.words AND o.original < pn.turn WHERE pn.words <> ''),
+        a AS (
+          SELECT conv_id, turn, first(original ORDER BY level, size DESC, original) AS parent, count(*) AS n_linked FROM k GROUP BY ALL),
+        t AS (
+          SELECT conv_id, turn, parent AS thread, CAST(1 AS BIGINT) AS depth FROM a
+          UNION ALL SELECT t.conv_id, t.turn, a.parent, t.depth + 1 FROM t JOIN a ON t.conv_id = a.conv_id AND t.thread = a.turn),
+        d AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM t GROUP BY ALL)
+        SELECT m.conv_id, coalesce(d.thread, m.turn) AS thread, coalesce(d.depth, 0) AS depth, m.turn, a.parent, m.role, own.body, coalesce(a.n_linked, 0) AS n_linked
+        FROM m JOIN own ON m.conv_id = own.conv_id AND m.turn = own.turn AND m.text = own.text
+        LEFT JOIN a ON m.conv_id = a.conv_id AND m.turn = a.turn
+        LEFT JOIN d ON m.conv_id = d.conv_id AND m.turn = d.turn
+    """,
+    "op6_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+        SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
+    """,
     "op5_url_rules": """
         WITH u AS (
           SELECT page_id,
