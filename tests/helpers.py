@@ -1,11 +1,14 @@
 """Order-insensitive comparison of result rows."""
 
 
+import pandas as pd
+
+
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
-    if isinstance(v, float):
-        return round(v, 6)
+    if isinstance(v, float):  # pandas makes floats of whole numbers beside nulls
+        return int(v) if v.is_integer() else round(v, 6)
     return v.item() if hasattr(v, "item") else v
 
 
