@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,47 +43,65 @@ GRAIN = 16
 END_ID = 2
 #: Pieces that one salt of a class should hold.
 SALT_PIECES = 50_000
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
 MAX_CACHED = 48
 
 _models: dict[str, object] = {}
 _caches: dict[str, dict[bytes, bytes]] = {}
-_TAIL = re.compile(rb"(?<=[A-Za-z0-9])[.,]+\Z")
+#: Latin letters, then ASCII punctuation but the apostrophe, which may begin a contraction.
+_WORD = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _ids_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return array("I", ids).tobytes()
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary.
+
+    Printable Latin-1 bytes stand for themselves, the others for the characters from 256 on.
+    """
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def _encoder(path: str):
-    """``bytes of text -> ids as little-endian 32-bit words``, with a cache that the worker keeps.
+    """``text -> ids as little-endian 32-bit words``, with a cache that the worker keeps.
 
     The tokenizer drops white space and never joins across it, lower-cases, and
     parts letters from punctuation, so ids can be looked up by white-space chunk.
-    Texts that may hold a special string, and chunks that are long, are encoded
-    as they are.
+    A new word of Latin letters goes straight to the tokenizer's merge model, which
+    spares it normalising and splitting; all other new chunks, and texts that may
+    hold a special string, are encoded as they are.
     """
     from tokenizers import Tokenizer
 
     if path not in _models:
         _models[path] = Tokenizer.from_file(path)
     tok, cache = _models[path], _caches.setdefault(path, {})
+    merge, alphabet = tok.model.tokenize, _byte_alphabet()
 
     def direct(raw: bytes) -> bytes:
         return _ids_bytes(tok.encode(raw.decode(), add_special_tokens=False).ids)
 
+    def keep(c: bytes, ids: bytes) -> bytes:
+        if len(cache) >= CACHE_ENTRIES:
+            cache.clear()
+        cache[c] = ids
+        return ids
+
     def chunk(c: bytes) -> bytes:
         if len(c) > MAX_CACHED:
             return direct(c)
-        tail = _TAIL.search(c)
-        if tail and tail.start():
-            core, rest = c[: tail.start()], tail[0]
-            return (cache.get(core) or chunk(core)) + (cache.get(rest) or chunk(rest))
-        got = direct(c)
-        if len(cache) >= CACHE_ENTRIES:
-            cache.clear()
-        cache[c] = got
-        return got
+        word = _WORD.fullmatch(c.decode())
+        if not word:
+            return keep(c, direct(c))
+        if not word[2]:
+            letters = word[1].lower().encode().decode("latin-1")
+            return keep(c, _ids_bytes([t.id for t in merge(letters if letters.isascii() else letters.translate(alphabet))]))
+        core, tail = word[1].encode(), word[2].encode()
+        return keep(c, (cache.get(core) or chunk(core)) + (cache.get(tail) or chunk(tail)))
 
     def encode(text: str) -> bytes:
         raw = text.encode()
@@ -90,9 +109,10 @@ def _encoder(path: str):
             return direct(raw)
         chunks = raw.lower().split()
         out = [cache.get(c) for c in chunks]
-        for i, got in enumerate(out):
-            if got is None:
-                out[i] = chunk(chunks[i])
+        if None in out:
+            for i, got in enumerate(out):
+                if got is None:
+                    out[i] = chunk(chunks[i])
         return b"".join(out)
 
     return encode
