@@ -167,6 +167,24 @@ def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, n
     return float(value[capacity]), pattern
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row exchanges.
+
+    The threaded LAPACK routine can wait forever in a process that has started
+    children, as a Spark driver has.
+    """
+    n = len(a)
+    both = np.concatenate([a, np.eye(n)], 1)
+    for i in range(n):
+        pivot = i + int(np.argmax(np.abs(both[i:, i])))
+        both[[i, pivot]] = both[[pivot, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= factor[:, None] * both[i]
+    return both[:, n:]
+
+
 def column_generation(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[float, np.ndarray]]:
     """``(times, pattern)`` of a linear program that covers the counts with the fewest sequences.
 
@@ -192,7 +210,7 @@ def column_generation(sizes: np.ndarray, counts: np.ndarray, capacity: int, roun
         x[leave] = ratio[leave]
         x = np.maximum(x, 0)
         if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
             x = np.maximum(inverse @ counts, 0)
         else:
             row = inverse[leave] / direction[leave]
