@@ -67,10 +67,10 @@ class FactorizationMachine:
 
 def _select(sets: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Buckets by information about the label (two thirds) and by frequency (the rest)."""
-    ids = np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    df = np.bincount(ids, minlength=BUCKETS).astype(float)
-    pos = np.bincount(ids, weights=y[rows], minlength=BUCKETS)
+    df, pos = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for s, label in zip(sets, y, strict=True):  # a row holds each bucket once
+        df[s] += 1
+        pos[s] += label
     n, p = len(y), y.sum()
     seen = np.flatnonzero(df >= 3)
     a, b = pos[seen], df[seen] - pos[seen]
@@ -92,9 +92,12 @@ def fit_machine(sets: list[np.ndarray], y: np.ndarray, *, size: int = FEATURES,
     bias = float(np.log(rate / (1 - rate)))
     chosen = _select(sets, y, size)
     index = {int(b): i for i, b in enumerate(chosen)}
+    slot = np.full(BUCKETS, -1)
+    slot[chosen] = np.arange(len(chosen))
     x = np.zeros((len(y), len(chosen)), np.uint8)
     for r, s in enumerate(sets):
-        x[r, [index[b] for b in s.tolist() if b in index]] = 1
+        at = slot[s]
+        x[r, at[at >= 0]] = 1
     rng = np.random.default_rng(seed)
     params = [np.array([bias]), np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS))]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
@@ -152,11 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.array(out, pa.list_(pa.int32()))
 
     rows = slim.join(taught, "doc_id").select("doc_id", "y", hashed("text").alias("f")).toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    first = [i for k, i in enumerate(order) if not k or rows["doc_id"][int(i)] != rows["doc_id"][int(order[k - 1])]]
-    sets = rows.column("f").to_pylist()
-    y = rows.column("y").to_numpy()
-    return fit_machine([np.array(sets[i], np.int64) for i in first], np.array([float(y[i] > 0) for i in first]))
+    ids, y = rows.column("doc_id").to_numpy(), rows.column("y").to_numpy()
+    lists = rows.column("f").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    _, first = np.unique(ids, return_index=True)
+    return fit_machine([flat[starts[i] : starts[i + 1]] for i in first], (y[first] > 0).astype(float))
 
 
 def with_score(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
