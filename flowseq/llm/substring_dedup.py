@@ -45,7 +45,7 @@ PREFIX = 5
 _SPAN = WINDOW - PREFIX + 1
 #: Anchors that one group should hold, and that a task gathers before it sends them.
 GROUP_ANCHORS = 250_000
-SEND_ANCHORS = 1 << 20
+SEND_ANCHORS = 1 << 19
 #: A prefix that one task sees more often is settled inside the task.
 HOT = 16
 _ODD = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -62,7 +62,7 @@ def _code(words: list[bytes]) -> np.ndarray:
     """A 64-bit code of each word; a worker keeps the codes of words that it has met."""
     import xxhash
 
-    if len(_codes) > 1_000_000:
+    if len(_codes) > 400_000:
         _codes.clear()
     out = [_codes.get(w) for w in words]
     for i, c in enumerate(out):
