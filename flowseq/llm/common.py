@@ -37,7 +37,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return _scratch[key]
 
 
-def settle(df: DataFrame, *partition_by: str) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of what is
@@ -45,10 +45,7 @@ def settle(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     schema = df.schema
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
