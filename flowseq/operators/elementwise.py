@@ -44,7 +44,11 @@ class Elementwise:
 
     def flatmap_chars(self, fn: Callable[[Any], Column], name: str = VALUE, keep: tuple[str, ...] = ()):
         """The characters of a string."""
-        return self.flatmap(lambda e: F.filter(F.split(fn(e), ""), lambda c: c != ""), name, keep)
+        return self.flatmap(lambda e: F.split(fn(e), ""), name, keep)._present(name)
+
+    def _present(self, name: str):
+        """Without empty items: a row filter stays in generated code, a filter over the array does not."""
+        return self.like(self.frame.where(F.col(name) != ""))
 
     def flatten(self, name: str = VALUE):
         """The items of array elements."""

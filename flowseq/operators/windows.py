@@ -71,6 +71,6 @@ class Windows:
     @recorded
     def split_text(self, pattern: str, fn: Callable[[Any], Column] = lambda e: e, name: str = "value", keep: tuple[str, ...] = ()):
         """W5 over the characters of a text column: its non-empty parts between matches of ``pattern``."""
-        return self.flatmap(lambda e: F.filter(F.split(fn(e), pattern, -1), lambda t: t != ""), name, keep)
+        return self.flatmap(lambda e: F.split(fn(e), pattern, -1), name, keep)._present(name)
 
 

@@ -85,7 +85,7 @@ def filter_pred(spark, sf_dir):
 @query("SELECT doc_id, w AS word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> ''")
 def flatmap_words(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", "doc_id")
-    return docs.flatmap(lambda e: F.filter(F.split(e.text, " "), lambda w: w != ""), "word", keep=("doc_id",)).to_df()
+    return docs.split_text(" ", lambda e: e.text, "word", keep=("doc_id",)).to_df()
 
 
 @query("SELECT n_nationkey, c AS ch FROM (SELECT n_nationkey, unnest(string_split(n_name, '')) AS c FROM nation) WHERE c <> ''")
