@@ -123,6 +123,19 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
         SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
     """,
+    "op7_substring_dedup": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        i AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
+        s AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM i),
+        m AS (SELECT s, min(doc_id) AS least FROM s GROUP BY s),
+        g AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM s JOIN m ON s.s = m.s WHERE coalesce(doc_id > least, least IS NOT NULL)),
+        k AS (
+          SELECT x.r, count(*) AS n_kept, string_agg(word, ' ' ORDER BY x.p) AS kept
+          FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x ANTI JOIN g ON x.r = g.r AND x.p = g.p GROUP BY x.r)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON d.r = k.r
+    """,
     "op5_url_rules": """
         WITH u AS (
           SELECT page_id,

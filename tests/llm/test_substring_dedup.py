@@ -4,6 +4,9 @@ import random
 import pytest
 
 from flowseq.llm import substring_dedup as s
+from flowseq.llm.queries import ORACLE_SQL, QUERIES
+from tests.conftest import SF
+from tests.helpers import same_rows
 from tests.llm.data import ODD, frame
 
 rng = random.Random(11)
@@ -73,5 +76,19 @@ def test_nodes_are_equal_words():
     assert len(set(node.tolist())) == 2
 
 
+def test_sql(spark, duck):
+    """On the whole table, and on odd texts and ids against the same plain model as above."""
+    import duckdb
+    import pandas as pd
+
+    same_rows(QUERIES["op7_substring_dedup"](spark, SF).toPandas(), duck.execute(ORACLE_SQL["op7_substring_dedup"]).df())
+    texts = corpus()
+    rows = [(None if i % 17 == 0 else i // 3, t) for i, t in enumerate(texts)]
+    documents = pd.DataFrame({"doc_id": pd.array([i for i, _ in rows], "Int64"), "text": [t for _, t in rows]})
+    assert len(documents)
+    got = duckdb.execute(ORACLE_SQL["op7_substring_dedup"]).fetchall()
+    assert sorted(got, key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     assert s.dedup(frame(spark, ["x"]).limit(0)).count() == 0
