@@ -53,8 +53,9 @@ def drop_settled(df: DataFrame) -> None:
     """Remove the files of a table that :func:`settle` wrote and nothing reads any more."""
     spark = df.sparkSession
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    own = f"/{scratch_dir(spark).rsplit('/', 1)[1]}/"
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if parent.startswith(scratch_dir(spark).replace("file:///", "file:/")) or "/flowseq-" in parent:
+        if own in parent:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)
 
