@@ -41,9 +41,12 @@ SHORTEST = 32
 #: Edits allowed as a share of a pattern's length, where the lemma permits as many.
 EDIT_RATE = 0.05
 BLOCK_BYTES = 4 << 20
-#: Bytes of text that are looked at together: bounds a task's memory.
+#: Bytes of text and q-gram matches that are looked at together: bound a task's memory.
 BATCH_BYTES = 4 << 20
+BATCH_MATCHES = 8 << 20
 _BITS = 22
+#: Added to diagonals, which are negative where a text begins within a pattern.
+_SHIFT = 1 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
@@ -99,6 +102,8 @@ class Patterns:
         self.bound = np.array([bound(m) for m in sizes.tolist()], np.int64)
         # Half a band; every band is two halves wide and e edits move a match by e diagonals at most.
         self.half = np.array([budget(m) + 1 for m in sizes.tolist()], np.int64)
+        # A band's region lies within so many bytes of its first diagonal.
+        self.reach = int((sizes + 4 * self.half).max(initial=0))
 
     @staticmethod
     def _slot(codes: np.ndarray) -> np.ndarray:
@@ -139,25 +144,38 @@ def align(pattern: bytes, region: bytes, edits: int) -> tuple[int, int, int] | N
     return (int(cost[end]), int(start[end]), end) if cost[end] <= edits else None
 
 
-def regions(data: np.ndarray, ends: np.ndarray, patterns: Patterns) -> list[tuple[int, int, int, int, int, int]]:
-    """Matches in concatenated folded texts: ``(text, pattern, start, end, edits, shared)``.
-
-    ``ends`` are the texts' ends in ``data``; a match never crosses one.
-    """
+def look_up(data: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions whose q-gram a pattern has, and where these are among the patterns' q-grams: first and number."""
     codes = grams(data)
     hit = np.flatnonzero(patterns.table[Patterns._slot(codes)])
     lo = np.searchsorted(patterns.gram, codes[hit], "left")
     n = np.searchsorted(patterns.gram, codes[hit], "right") - lo
-    hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
+    return hit[n > 0], lo[n > 0], n[n > 0]
+
+
+def regions(
+    data: np.ndarray, ends: np.ndarray, patterns: Patterns, *, origin: np.ndarray | None = None, own: np.ndarray | None = None, looked_up=None
+) -> list[tuple[int, int, int, int, int, int]]:
+    """Matches in concatenated folded texts: ``(text, pattern, start, end, edits, shared)``.
+
+    ``ends`` are the texts' ends in ``data``; a match never crosses one.  Where
+    ``data`` holds parts of texts, ``origin`` says at what byte of its text each
+    begins, and only bands are judged whose first diagonal lies in the text's
+    range ``own`` (from, to).  Bands are laid by the text, so neither its parts nor
+    its neighbours matter.
+    """
+    origin = np.zeros(len(ends), np.int64) if origin is None else origin
+    hit, lo, n = looked_up or look_up(data, patterns)
     if not len(hit):
         return []
+    begin = np.r_[0, ends[:-1]] - origin
     text = np.searchsorted(ends, hit, "right")
     inside = hit + Q <= ends[text]
     hit, lo, n, text = hit[inside], lo[inside], n[inside], text[inside]
     where = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     owner = patterns.owner[where]
-    diagonal = np.repeat(hit, n) - patterns.at[where] + (1 << 20)  # never negative
     half = patterns.half[owner]
+    diagonal = np.repeat(hit - begin[text], n) - patterns.at[where] + _SHIFT  # never negative
     text = np.repeat(text, n)
     band = diagonal // half
     width = int(band.max(initial=0)) + 2
@@ -170,7 +188,10 @@ def regions(data: np.ndarray, ends: np.ndarray, patterns: Patterns) -> list[tupl
     for k, i, c in zip(keys[good].tolist(), first[good].tolist(), count[good].tolist(), strict=True):
         p, t = int(owner[i]), int(text[i])
         e, m = budget(len(patterns.text[p])), len(patterns.text[p])
-        low = (k % width) * int(half[i]) - (1 << 20)
+        low = (k % width) * int(half[i]) - _SHIFT
+        if own is not None and not own[t][0] <= low < own[t][1]:
+            continue
+        low += int(begin[t])
         a = max(low - e, int(ends[t - 1]) if t else 0)
         b = min(low + 2 * int(half[i]) + m + e, int(ends[t]))
         if got := align(patterns.text[p], data[a:b].tobytes(), e):
@@ -178,6 +199,50 @@ def regions(data: np.ndarray, ends: np.ndarray, patterns: Patterns) -> list[tupl
     return found
 
 
+def matches(raw: list[bytes], patterns: Patterns, *, batch_bytes: int = BATCH_BYTES, batch_matches: int = BATCH_MATCHES) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """What :func:`regions` finds in whole texts, by bytes of the text, in bounded memory.
+
+    A text longer than ``batch_bytes`` is looked at range by range, and ranges with
+    more than ``batch_matches`` q-gram matches, as of phrases that very many items
+    share, are halved.
+    """
+    if not patterns.text:
+        return
+    # Below this a range would mostly be what it shares with its neighbours.
+    least, reach = 4 * patterns.reach, patterns.reach
+    batch_bytes = max(batch_bytes, least)
+    todo: list[list[tuple[int, int, int]]] = [[]]
+    size = 0
+    for t, text in enumerate(raw):
+        for at in range(0, len(text), batch_bytes):
+            upto = min(at + batch_bytes, len(text))
+            if size + upto - at > batch_bytes:
+                todo.append([])
+                size = 0
+            todo[-1].append((t, at, upto))
+            size += upto - at
+    while todo:
+        part = todo.pop()
+        whole = [(raw[t][max(0, a - reach) : b + reach], max(0, a - reach)) for t, a, b in part]
+        data = np.frombuffer(b"".join(x for x, _ in whole).translate(_FOLD), np.uint8)
+        found = look_up(data, patterns)
+        if found[2].sum() > batch_matches:
+            if len(part) > 1:
+                todo += [part[: len(part) // 2], part[len(part) // 2 :]]
+                continue
+            t, a, b = part[0]
+            if b - a > 2 * least:
+                todo += [[(t, a, (a + b) // 2)], [(t, (a + b) // 2, b)]]
+                continue
+        ends = np.cumsum([len(x) for x, _ in whole])
+        origin = np.array([o for _, o in whole], np.int64)
+        # The first range of a text owns the diagonals in front of it too.
+        own = np.array([(a if a else -_SHIFT, b if b < len(raw[t]) else b + _SHIFT) for t, a, b in part], np.int64).reshape(-1, 2)
+        for i, p, a, b, e, c in regions(data, ends, patterns, origin=origin, own=own, looked_up=found):
+            shift = int(origin[i]) - (int(ends[i - 1]) if i else 0)
+            yield part[i][0], p, a + shift, b + shift, e, c
+
+
 def _scan(shipped):
     names = ["doc_id", "item_id", "start", "end", "edits", "shared_qgrams"]
 
@@ -186,15 +251,9 @@ def _scan(shipped):
 
         def search(ids: list, raw: list[bytes]) -> pa.RecordBatch:
             best: dict[tuple[int, int], list] = {}
-            if raw and patterns.text:
-                ends = np.cumsum([len(r) for r in raw])
-                data = np.frombuffer(b"".join(raw).translate(_FOLD), np.uint8)
-                for t, p, a, b, e, c in regions(data, ends, patterns):
-                    key, base = (t, patterns.item[p]), int(ends[t - 1]) if t else 0
-                    got = best.setdefault(key, [a - base, b - base, e, c])
-                    if got[2] > e:
-                        got[2] = e
-                    got[0], got[1], got[3] = min(got[0], a - base), max(got[1], b - base), max(got[3], c)
+            for t, p, a, b, e, c in matches(raw, patterns):
+                got = best.setdefault((t, patterns.item[p]), [a, b, e, c])
+                best[t, patterns.item[p]] = [min(got[0], a), max(got[1], b), min(got[2], e), max(got[3], c)]
             rows = [(ids[t], item, len(raw[t][:a].decode(errors="ignore")), len(raw[t][:b].decode(errors="ignore")), e, c) for (t, item), (a, b, e, c) in sorted(best.items())]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)

@@ -91,6 +91,24 @@ def test_blocks_give_the_same(spark):
     assert one == many and len(one) == 8
 
 
+def test_ranges_and_neighbours_change_nothing():
+    """Long texts in ranges, and hot q-grams in halves, give what each text gives alone."""
+    import numpy as np
+
+    shared = prose(12)
+    items = [f"{shared} {prose(20)}" for _ in range(30)]
+    patterns = d.Patterns(list(enumerate(items)))
+    texts = [" ".join(x for i in rng.sample(range(30), 12) for x in (edit(items[i], rng.choice([0, 0.02, 0.03])), prose(rng.randint(0, 60)))) for _ in range(8)]
+    raw = [t.encode() for t in [*texts, "", "é" * 40, shared * 30]]
+    alone = []
+    for t, r in enumerate(raw):
+        data = np.frombuffer(d.fold(r.decode()), np.uint8)
+        alone += [(t, *x[1:]) for x in d.regions(data, np.array([len(data)]), patterns)]
+    assert len(alone) > 100
+    for sizes in ({}, {"batch_bytes": 1000}, {"batch_matches": 50}, {"batch_bytes": 1500, "batch_matches": 10}):
+        assert sorted(d.matches(raw, patterns, **sizes)) == sorted(alone)
+
+
 def test_empty_tables(spark):
     assert d.leaks(frame(spark, ["x"]).limit(0), bench(spark, ["a" * 50])).count() == 0
     assert d.leaks(frame(spark, ["x"]), bench(spark, ["a"]).limit(0)).count() == 0
