@@ -23,6 +23,7 @@ an empty result; only the id and text columns are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -271,11 +272,21 @@ def find_spans(text: str, probability: dict[int, float]) -> tuple[list[tuple[int
     added: list[tuple[int, int, int]] = []
     strict = set(good)
     ranked = sorted(((-probability.get(c, 0.0), s, k, e) for s, k, e, c in cands if (s, k, e) not in strict))
-    taken = sorted((s, e) for s, _, e in good)
+    # Disjoint intervals in order: the last that starts before a span's end tells whether it is free.
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, _, e in good:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for p, s, k, e in ranked:
-        if -p >= ACCEPT and not any(a < e and s < b for a, b in taken):
+        at = bisect_left(starts, e)
+        if -p >= ACCEPT and (not at or ends[at - 1] <= s):
             added.append((s, k, e))
-            taken.append((s, e))
+            starts.insert(at, s)
+            ends.insert(at, e)
     return good, sorted(good + added)
 
 

@@ -83,3 +83,19 @@ def test_redaction_and_empty_table(spark):
 @pytest.mark.parametrize("ids", [[5, 5, None]])
 def test_repeated_and_missing_ids(spark, ids):
     assert pii.detect(frame(spark, ["a@b.org"] * 3, ids)).count() == 3
+
+
+def test_added_spans_never_overlap():
+    """Compared with a scan of everything taken, the likeliest first."""
+    rng = random.Random(9)
+    parts = ["jo [at] ex [dot] org", "(415) 555-2671", "1[.]2[.]3[.]4", "a@b.co", "4111 1111 1111 1112", "999.1.1.1", "+1 (555) 222-3333", " ", "-", "call "]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))
+        good, found = pii.candidates(text)
+        known = {c: rng.random() for *_, c in found}
+        taken, added = [(s, e) for s, _, e in good], []
+        for p, s, k, e in sorted((-known[c], s, k, e) for s, k, e, c in found if (s, k, e) not in set(good)):
+            if -p >= pii.ACCEPT and not any(a < e and s < b for a, b in taken):
+                added.append((s, k, e))
+                taken.append((s, e))
+        assert pii.find_spans(text, known) == (good, sorted(good + added))
