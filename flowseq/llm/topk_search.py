@@ -118,6 +118,9 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     plain = plain.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(F.exists("v", bad), F.lit(True)))
     # Doubles hold floor(256 x) exactly: scaling by a power of two is exact.
     whole = plain.select("vec_id", F.transform("v", lambda x: F.when(F.abs(x) >= float(1 << 54), x * SCALE).otherwise(F.floor(x * SCALE).cast("double"))).alias("v"))
+    # Ids alone tell whether any repeats; only then do vectors move.
+    if plain.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty():
+        return whole
     return whole.groupBy("vec_id").agg(F.max("v").alias("v"))
 
 
