@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram filtering in diagonal bands.
 
-Texts are folded byte by byte (ASCII letters to lower case, other ASCII but
-digits to spaces), which keeps positions.  Every benchmark item is cut into
+Texts are folded: case by Unicode's rules in all letters, then byte by byte other
+ASCII but letters and digits to spaces.  Where folding changes the number of
+characters (as of sharp s), found positions are mapped back.  Every benchmark item is cut into
 patterns: the whole item up to ``PATTERN`` bytes, overlapping pieces of that
 length if it is longer.  For a pattern of m bytes the edit budget e is a share of
 m, bounded so that the q-gram lemma says something: a region within e edits
@@ -52,7 +53,15 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57
 
 
 def fold(text: str) -> bytes:
-    return text.encode().translate(_FOLD)
+    return text.casefold().encode().translate(_FOLD)
+
+
+def unfolded(text: str, start: int, end: int) -> tuple[int, int]:
+    """The code points of ``text`` that hold those from ``start`` to ``end`` of its case-folded form."""
+    if len(text.casefold()) == len(text):
+        return start, end
+    ends = np.cumsum([len(c.casefold()) for c in text])
+    return int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, end, "left")) + 1
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -200,7 +209,7 @@ def regions(
 
 
 def matches(raw: list[bytes], patterns: Patterns, *, batch_bytes: int = BATCH_BYTES, batch_matches: int = BATCH_MATCHES) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """What :func:`regions` finds in whole texts, by bytes of the text, in bounded memory.
+    """What :func:`regions` finds in whole case-folded texts, by bytes of them, in bounded memory.
 
     A text longer than ``batch_bytes`` is looked at range by range, and ranges with
     more than ``batch_matches`` q-gram matches, as of phrases that very many items
@@ -249,26 +258,30 @@ def _scan(shipped):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = Patterns(shipped.value)
 
-        def search(ids: list, raw: list[bytes]) -> pa.RecordBatch:
+        def search(ids: list, texts: list[str], raw: list[bytes]) -> pa.RecordBatch:
             best: dict[tuple[int, int], list] = {}
             for t, p, a, b, e, c in matches(raw, patterns):
                 got = best.setdefault((t, patterns.item[p]), [a, b, e, c])
                 best[t, patterns.item[p]] = [min(got[0], a), max(got[1], b), min(got[2], e), max(got[3], c)]
-            rows = [(ids[t], item, len(raw[t][:a].decode(errors="ignore")), len(raw[t][:b].decode(errors="ignore")), e, c) for (t, item), (a, b, e, c) in sorted(best.items())]
+            rows = []
+            for (t, item), (a, b, e, c) in sorted(best.items()):
+                span = unfolded(texts[t], len(raw[t][:a].decode(errors="ignore")), len(raw[t][:b].decode(errors="ignore")))
+                rows.append((ids[t], item, *span, e, c))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
         for batch in batches:
-            ids, raw, size = [], [], 0
+            ids, texts, raw, size = [], [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
                     ids.append(i)
-                    raw.append(text.encode())
+                    texts.append(text)
+                    raw.append(text.casefold().encode())
                     size += len(raw[-1])
                     if size >= BATCH_BYTES:
-                        yield search(ids, raw)
-                        ids, raw, size = [], [], 0
-            yield search(ids, raw)
+                        yield search(ids, texts, raw)
+                        ids, texts, raw, size = [], [], [], 0
+            yield search(ids, texts, raw)
 
     return scan
 

@@ -113,3 +113,13 @@ def test_empty_tables(spark):
     assert d.leaks(frame(spark, ["x"]).limit(0), bench(spark, ["a" * 50])).count() == 0
     assert d.leaks(frame(spark, ["x"]), bench(spark, ["a"]).limit(0)).count() == 0
     assert d.drop_leaks(frame(spark, ["x"]), bench(spark, ["a"]).limit(0)).count() == 1
+
+
+def test_case_is_folded_in_every_letter(spark):
+    items = [" ".join(rng.choice(["été", "çà", "niño", "über", "größe", "στίχος", "слово", "garçon"]) for _ in range(24)) for _ in range(4)]
+    texts = [f"Straße İ {prose(9)} {t.upper()} {prose(9)}" for t in items]
+    rows = d.leaks(frame(spark, texts), bench(spark, items)).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in rows) == [(i, i, 0) for i in range(4)]
+    for r in rows:
+        assert texts[r["doc_id"]][r["start"] : r["end"]].casefold() == items[r["item_id"]].casefold()
+    assert d.drop_leaks(frame(spark, texts), bench(spark, items)).count() == 0
