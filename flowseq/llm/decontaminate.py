@@ -15,6 +15,10 @@ are counted in bands of twice the needed width that overlap by half, so the hits
 of any alignment within e edits fall together into one band.  Bands that reach
 the bound are verified by a banded alignment of the whole pattern.
 
+A quotation of part of an item, of ``EXCERPT`` bytes or more without an edit, is a
+run of consecutive q-gram hits on one diagonal: pieces overlap by more than that, so
+it lies in a piece as a whole.  Such runs count where the whole pattern is not found.
+
 Documents are never shuffled.  The patterns are shipped in blocks of at most
 ``BLOCK_BYTES`` of benchmark text; a larger benchmark takes more passes.
 
@@ -39,6 +43,8 @@ PATTERN = 192
 #: Step from one piece of a long item to the next.
 STRIDE = 96
 SHORTEST = 32
+#: Bytes of an item that are a leak when they stand in a text word for word.
+EXCERPT = 64
 #: Edits allowed as a share of a pattern's length, where the lemma permits as many.
 EDIT_RATE = 0.05
 BLOCK_BYTES = 4 << 20
@@ -163,7 +169,7 @@ def look_up(data: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, np.ndarra
 
 
 def regions(
-    data: np.ndarray, ends: np.ndarray, patterns: Patterns, *, origin: np.ndarray | None = None, own: np.ndarray | None = None, looked_up=None
+    data: np.ndarray, ends: np.ndarray, patterns: Patterns, *, origin: np.ndarray | None = None, own: np.ndarray | None = None, looked_up=None, quoted: list | None = None
 ) -> list[tuple[int, int, int, int, int, int]]:
     """Matches in concatenated folded texts: ``(text, pattern, start, end, edits, shared)``.
 
@@ -171,7 +177,7 @@ def regions(
     ``data`` holds parts of texts, ``origin`` says at what byte of its text each
     begins, and only bands are judged whose first diagonal lies in the text's
     range ``own`` (from, to).  Bands are laid by the text, so neither its parts nor
-    its neighbours matter.
+    its neighbours matter.  ``quoted`` receives the excerpts, in the same form.
     """
     origin = np.zeros(len(ends), np.int64) if origin is None else origin
     hit, lo, n = looked_up or look_up(data, patterns)
@@ -185,6 +191,8 @@ def regions(
     owner = patterns.owner[where]
     half = patterns.half[owner]
     diagonal = np.repeat(hit - begin[text], n) - patterns.at[where] + _SHIFT  # never negative
+    if quoted is not None:
+        quoted += excerpts(np.repeat(hit, n), np.repeat(text, n), owner, diagonal)
     text = np.repeat(text, n)
     band = diagonal // half
     width = int(band.max(initial=0)) + 2
@@ -208,12 +216,25 @@ def regions(
     return found
 
 
-def matches(raw: list[bytes], patterns: Patterns, *, batch_bytes: int = BATCH_BYTES, batch_matches: int = BATCH_MATCHES) -> Iterator[tuple[int, int, int, int, int, int]]:
+def excerpts(hit: np.ndarray, text: np.ndarray, owner: np.ndarray, diagonal: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs of consecutive hits on a diagonal that cover ``EXCERPT`` bytes: as :func:`regions` gives matches."""
+    # Hits come by position: by text, pattern and diagonal they stay so.
+    order = np.lexsort((hit, diagonal, owner, text))
+    hit, text, owner, diagonal = hit[order], text[order], owner[order], diagonal[order]
+    broken = (np.diff(hit) != 1) | (np.diff(text) != 0) | (np.diff(owner) != 0) | (np.diff(diagonal) != 0)
+    first = np.flatnonzero(np.r_[len(hit) > 0, broken])
+    size = np.diff(np.r_[first, len(hit)])
+    first, size = first[size > EXCERPT - Q], size[size > EXCERPT - Q]
+    return [(t, p, a, a + n + Q - 1, 0, n) for t, p, a, n in zip(text[first].tolist(), owner[first].tolist(), hit[first].tolist(), size.tolist(), strict=True)]
+
+
+def matches(raw: list[bytes], patterns: Patterns, *, batch_bytes: int = BATCH_BYTES, batch_matches: int = BATCH_MATCHES, quoted: list | None = None) -> Iterator[tuple[int, int, int, int, int, int]]:
     """What :func:`regions` finds in whole case-folded texts, by bytes of them, in bounded memory.
 
     A text longer than ``batch_bytes`` is looked at range by range, and ranges with
     more than ``batch_matches`` q-gram matches, as of phrases that very many items
-    share, are halved.
+    share, are halved.  ``quoted`` receives the excerpts; one that a range cuts comes
+    whole from the range it begins in.
     """
     if not patterns.text:
         return
@@ -247,9 +268,13 @@ def matches(raw: list[bytes], patterns: Patterns, *, batch_bytes: int = BATCH_BY
         origin = np.array([o for _, o in whole], np.int64)
         # The first range of a text owns the diagonals in front of it too.
         own = np.array([(a if a else -_SHIFT, b if b < len(raw[t]) else b + _SHIFT) for t, a, b in part], np.int64).reshape(-1, 2)
-        for i, p, a, b, e, c in regions(data, ends, patterns, origin=origin, own=own, looked_up=found):
+        runs = None if quoted is None else []
+        for i, p, a, b, e, c in regions(data, ends, patterns, origin=origin, own=own, looked_up=found, quoted=runs):
             shift = int(origin[i]) - (int(ends[i - 1]) if i else 0)
             yield part[i][0], p, a + shift, b + shift, e, c
+        for i, p, a, b, e, c in runs or ():
+            shift = int(origin[i]) - (int(ends[i - 1]) if i else 0)
+            quoted.append((part[i][0], p, a + shift, b + shift, e, c))
 
 
 def _scan(shipped):
@@ -260,7 +285,10 @@ def _scan(shipped):
 
         def search(ids: list, texts: list[str], raw: list[bytes]) -> pa.RecordBatch:
             best: dict[tuple[int, int], list] = {}
-            for t, p, a, b, e, c in matches(raw, patterns):
+            quoted: list = []
+            whole = list(matches(raw, patterns, quoted=quoted))
+            known = {(t, patterns.item[p]) for t, p, *_ in whole}
+            for t, p, a, b, e, c in [*whole, *(x for x in quoted if (x[0], patterns.item[x[1]]) not in known)]:
                 got = best.setdefault((t, patterns.item[p]), [a, b, e, c])
                 best[t, patterns.item[p]] = [min(got[0], a), max(got[1], b), min(got[2], e), max(got[3], c)]
             rows = []
@@ -304,7 +332,8 @@ def leaks(
     """``doc_id, item_id, start, end, edits, shared_qgrams``: the benchmark items that documents contain.
 
     One row per document and item: the extent of all its matches in code points,
-    the fewest edits and the most shared q-grams of any of them.
+    the fewest edits and the most shared q-grams of any of them.  Excerpts count
+    where no whole pattern matches.
     """
     slim = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     schema = "doc_id long, item_id long, start long, end long, edits long, shared_qgrams long"

@@ -123,3 +123,29 @@ def test_case_is_folded_in_every_letter(spark):
     for r in rows:
         assert texts[r["doc_id"]][r["start"] : r["end"]].casefold() == items[r["item_id"]].casefold()
     assert d.drop_leaks(frame(spark, texts), bench(spark, items)).count() == 0
+
+
+def test_verbatim_parts_of_items_are_found(spark):
+    items = [prose(n) for n in (14, 25, 40, 60)]
+    texts, cut = [], []
+    for i, item in enumerate(items):
+        for _ in range(12):
+            a = rng.randrange(len(item) - d.EXCERPT + 1)
+            cut.append((i, item[a : a + d.EXCERPT]))
+            texts.append(f"{prose(40)} x{cut[-1][1].upper()}x {prose(40)}")
+    rows = {r["doc_id"]: r for r in d.leaks(frame(spark, texts), bench(spark, items)).collect()}
+    assert sorted(rows) == list(range(len(texts)))
+    for k, (i, part) in enumerate(cut):
+        assert rows[k]["item_id"] == i and part.strip() in texts[k][rows[k]["start"] : rows[k]["end"]].lower()
+    assert d.drop_leaks(frame(spark, texts), bench(spark, items)).count() == 0
+    assert d.leaks(frame(spark, [f"{prose(9)} {p[:50]} {prose(9)}" for _, p in cut]), bench(spark, items)).count() == 0
+
+
+def test_ranges_change_no_excerpt():
+    items = [prose(60) for _ in range(10)]
+    patterns = d.Patterns(list(enumerate(items)))
+    raw = [" ".join(f"{prose(rng.randint(0, 30))} {items[rng.randrange(10)][40:180]}" for _ in range(30)).encode() for _ in range(3)]
+    alone, parts = [], []
+    assert not list(d.matches(raw, patterns, quoted=alone)) and len(alone) > 90
+    list(d.matches(raw, patterns, batch_bytes=1000, quoted=parts))
+    assert set(alone) <= set(parts)
