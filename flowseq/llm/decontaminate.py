@@ -8,12 +8,13 @@ length if it is longer.  For a pattern of m bytes the edit budget e is a share o
 m, bounded so that the q-gram lemma says something: a region within e edits
 shares at least m - q + 1 - q e of the pattern's q-grams.
 
-Each Arrow batch of documents is one byte array.  Its q-grams (16 bytes, as two
-64-bit words) are looked up in a bit table, then in the sorted q-grams of the
+Each Arrow batch of documents is one byte array.  Its q-grams (7 bytes, which
+permit one edit in ten bytes) are looked up in a bit table, then in the sorted q-grams of the
 patterns.  A hit lies on the diagonal text position - pattern position; diagonals
 are counted in bands of twice the needed width that overlap by half, so the hits
-of any alignment within e edits fall together into one band.  Bands that reach
-the bound are verified by a banded alignment of the whole pattern.
+of any alignment within e edits fall together into one band.  Counts
+by a hash of the band, never too low, first rule out most hits.  Bands that reach the
+bound are verified by a banded alignment of the whole pattern.
 
 A quotation of part of an item, of ``EXCERPT`` bytes or more without an edit, is a
 run of consecutive q-gram hits on one diagonal: pieces overlap by more than that, so
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-Q = 16
+Q = 7
 PATTERN = 192
 #: Step from one piece of a long item to the next.
 STRIDE = 96
@@ -46,11 +47,11 @@ SHORTEST = 32
 #: Bytes of an item that are a leak when they stand in a text word for word.
 EXCERPT = 64
 #: Edits allowed as a share of a pattern's length, where the lemma permits as many.
-EDIT_RATE = 0.05
+EDIT_RATE = 0.1
 BLOCK_BYTES = 4 << 20
 #: Bytes of text and q-gram matches that are looked at together: bound a task's memory.
-BATCH_BYTES = 4 << 20
-BATCH_MATCHES = 8 << 20
+BATCH_BYTES = 1 << 20
+BATCH_MATCHES = 4 << 20
 _BITS = 22
 #: Added to diagonals, which are negative where a text begins within a pattern.
 _SHIFT = 1 << 20
@@ -75,11 +76,11 @@ def grams(data: np.ndarray) -> np.ndarray:
     n = len(data) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    eight = np.empty(len(data) - 7, np.uint64)
-    for o in range(8):
-        words = data[o : o + (len(data) - o) // 8 * 8].view(np.uint64)
-        eight[o::8] = words
-    return eight[:n] * np.uint64(0x9E3779B97F4A7C15) + eight[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+    data = np.concatenate([data, np.zeros(8 - Q, np.uint8)])
+    out = np.empty(n, np.uint64)
+    for o in range(min(8, n)):
+        out[o::8] = data[o : o + (len(data) - o) // 8 * 8].view(np.uint64)
+    return (out & np.uint64((1 << 8 * Q) - 1)) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def budget(m: int) -> int:
@@ -191,15 +192,22 @@ def regions(
     owner = patterns.owner[where]
     half = patterns.half[owner]
     diagonal = np.repeat(hit - begin[text], n) - patterns.at[where] + _SHIFT  # never negative
-    if quoted is not None:
-        quoted += excerpts(np.repeat(hit, n), np.repeat(text, n), owner, diagonal)
-    text = np.repeat(text, n)
+    hit, text = np.repeat(hit, n), np.repeat(text, n)
     band = diagonal // half
     width = int(band.max(initial=0)) + 2
     # Band k holds the half bands k and k + 1, so every hit counts for two bands.
     key = (text * len(patterns.text) + owner) * width + band
-    keys, first, count = np.unique(np.concatenate([key, key - 1]), return_index=True, return_counts=True)
-    first %= len(key)
+    least = np.minimum(patterns.bound, EXCERPT - Q + 1)[owner]
+    both = np.concatenate([key, key - 1])
+    slot = Patterns._slot(both.view(np.uint64)).astype(np.int64)
+    likely = np.bincount(slot, minlength=1 << _BITS)[slot] >= np.concatenate([least, least])
+    if quoted is not None:
+        # The hits of an excerpt share a diagonal, so their band has them all.
+        some = likely[: len(key)]
+        quoted += excerpts(hit[some], text[some], owner[some], diagonal[some])
+    at = np.flatnonzero(likely)
+    keys, first, count = np.unique(both[at], return_index=True, return_counts=True)
+    first = at[first] % len(key)
     good = count >= patterns.bound[owner[first]]
     found: list[tuple[int, int, int, int, int, int]] = []
     for k, i, c in zip(keys[good].tolist(), first[good].tolist(), count[good].tolist(), strict=True):

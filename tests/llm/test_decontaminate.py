@@ -149,3 +149,17 @@ def test_ranges_change_no_excerpt():
     assert not list(d.matches(raw, patterns, quoted=alone)) and len(alone) > 90
     list(d.matches(raw, patterns, batch_bytes=1000, quoted=parts))
     assert set(alone) <= set(parts)
+
+
+def test_items_with_replaced_words_are_found(spark):
+    """A word in a short item, two in each piece of a long one."""
+    items = [prose(100)[:n] for n in (81, 81, 115, 150, 192, 192, 233, 380)]
+    texts = []
+    for item in items:
+        out = list(item)
+        for a in range(30, len(item) - 5, 76 if len(item) > 150 else 200):
+            out[a : a + 5] = "#####".replace("#", "q")
+        texts.append(f"{prose(30)} {''.join(out)} {prose(30)}")
+    rows = d.leaks(frame(spark, texts), bench(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(i, i) for i in range(len(items))}
+    assert all(10 * d.budget(m) >= m - 9 for m in range(81, d.PATTERN + 1))
