@@ -53,6 +53,8 @@ BLOCK_BYTES = 4 << 20
 BATCH_BYTES = 1 << 20
 BATCH_MATCHES = 4 << 20
 _BITS = 22
+#: Mask of the slots that half bands are counted in.
+_SLOTS = (1 << 20) - 1
 #: Added to diagonals, which are negative where a text begins within a pattern.
 _SHIFT = 1 << 20
 
@@ -112,6 +114,7 @@ class Patterns:
         self.at = np.concatenate([*(np.arange(len(c)) for c in codes), np.zeros(0, np.int64)]).astype(np.int64)
         order = np.argsort(self.gram, kind="stable")
         self.gram, self.owner, self.at = self.gram[order], self.owner[order], self.at[order]
+        self.distinct, self.first, self.number = np.unique(self.gram, return_index=True, return_counts=True)
         self.table = np.zeros(1 << _BITS, bool)
         self.table[self._slot(self.gram)] = True
         sizes = np.array([len(t) for t in self.text], np.int64)
@@ -164,9 +167,12 @@ def look_up(data: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, np.ndarra
     """Positions whose q-gram a pattern has, and where these are among the patterns' q-grams: first and number."""
     codes = grams(data)
     hit = np.flatnonzero(patterns.table[Patterns._slot(codes)])
-    lo = np.searchsorted(patterns.gram, codes[hit], "left")
-    n = np.searchsorted(patterns.gram, codes[hit], "right") - lo
-    return hit[n > 0], lo[n > 0], n[n > 0]
+    if not len(hit):
+        return hit, hit, hit
+    found = codes[hit]
+    at = np.minimum(np.searchsorted(patterns.distinct, found), len(patterns.distinct) - 1)
+    same = patterns.distinct[at] == found
+    return hit[same], patterns.first[at[same]], patterns.number[at[same]]
 
 
 def regions(
@@ -198,17 +204,22 @@ def regions(
     # Band k holds the half bands k and k + 1, so every hit counts for two bands.
     key = (text * len(patterns.text) + owner) * width + band
     least = np.minimum(patterns.bound, EXCERPT - Q + 1)[owner]
-    both = np.concatenate([key, key - 1])
-    slot = Patterns._slot(both.view(np.uint64)).astype(np.int64)
-    likely = np.bincount(slot, minlength=1 << _BITS)[slot] >= np.concatenate([least, least])
+    # Half bands that follow one another have slots that do; a slot counts at least its half band.
+    slot = (Patterns._slot((key // width).view(np.uint64)).astype(np.int64) + band) & _SLOTS
+    seen = np.bincount(slot, minlength=_SLOTS + 1)
+    mine = seen[slot]
+    upper = mine + seen[(slot + 1) & _SLOTS] >= least
+    lower = mine + seen[(slot - 1) & _SLOTS] >= least
     if quoted is not None:
         # The hits of an excerpt share a diagonal, so their band has them all.
-        some = likely[: len(key)]
-        quoted += excerpts(hit[some], text[some], owner[some], diagonal[some])
-    at = np.flatnonzero(likely)
-    keys, first, count = np.unique(both[at], return_index=True, return_counts=True)
+        quoted += excerpts(hit[upper], text[upper], owner[upper], diagonal[upper])
+    at = np.r_[np.flatnonzero(upper), np.flatnonzero(lower) + len(key)]
+    both = np.concatenate([key[upper], key[lower] - 1])
+    keys, first, count = np.unique(both, return_index=True, return_counts=True)
     first = at[first] % len(key)
-    good = count >= patterns.bound[owner[first]]
+    # The bound is on places of the pattern, of which a repeated word hits some more than once.
+    places = np.unique(both * PATTERN + patterns.at[where][at % len(key)])
+    good = np.bincount(np.searchsorted(keys, places // PATTERN), minlength=len(keys)) >= patterns.bound[owner[first]]
     found: list[tuple[int, int, int, int, int, int]] = []
     for k, i, c in zip(keys[good].tolist(), first[good].tolist(), count[good].tolist(), strict=True):
         p, t = int(owner[i]), int(text[i])
