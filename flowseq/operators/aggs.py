@@ -130,15 +130,33 @@ class Aggregations:
         folded = F.aggregate(array, start, merge, finish) if finish else F.aggregate(array, start, merge)
         return base.agg(value=folded)._with_keys_of(self)
 
-    def reduce(self, merge: Callable[[Column, Column], Column], init: Any = None, fn: Callable[[Any], Column] | None = None):
-        """A fold that starts from the first element, or from ``init``; null for an empty flow."""
+    def reduce(self, merge: Callable[[Column, Column], Column], init: Any = None, fn: Callable[[Any], Column] | None = None, associative: bool = False):
+        """A fold that starts from the first element, or from ``init``; null for an empty flow.
+
+        Where ``merge`` is associative, ranges of the order are folded for themselves and
+        their results then in order, so no task holds more than a range.
+        """
         if init is not None:
             return self.aggregate(init, merge, fn)
+        if associative and self.order and not self.keys:
+            return self._reduce_ranges(merge, fn)
         base = self._uniform()
         array = base.collected(fn)
         folded = F.aggregate(F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(0))), F.get(array, F.lit(0)), merge)
         return base.agg(value=F.when(F.size(array) > 0, folded))._with_keys_of(self)
 
+    def _reduce_ranges(self, merge, fn):
+        from flowseq.order import OrderSpec
+        from flowseq.plans.layout import Layout
+
+        base = self.guarded()
+        df, part = Layout(base.frame.select(*base.order.names, base._of(fn).alias(VALUE)), base.order).partitions()
+        flow = base.like(df, columns=(VALUE,))
+        if part is None:
+            return flow.reduce(merge)
+        each = flow.like(df, keys=(part,)).reduce(merge)
+        return each.like(each.frame, order=OrderSpec(((part, True),)), keys=()).reduce(merge)
+
     def _with_keys_of(self, flow):
         if self.keys == flow.keys:
             return self

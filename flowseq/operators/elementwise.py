@@ -28,12 +28,15 @@ class Elementwise:
         return self.like(self.frame.where(self.condition(p)))
 
     @recorded
-    def flatmap(self, fn: Callable[[Any], Column], name: str = VALUE, keep: tuple[str, ...] = ()):
+    def flatmap(self, fn: Callable[[Any], Column], name: str = VALUE, keep: tuple[str, ...] = (), pipeline: Callable[[Any], Any] | None = None):
         """The items of the array that ``fn`` gives for each element.
 
-        A sub-pipeline per element is an array expression (``F.transform``,
-        ``F.filter``, ``F.sequence``).  ``keep`` names columns to keep beside the items.
+        ``pipeline`` is a sub-pipeline that runs over the items of each element for
+        itself, in one plan for all elements.  ``keep`` names columns to keep beside
+        the items.
         """
+        if pipeline:
+            return self._flatmap_each(fn, name, keep, pipeline)
         base = self.guarded()
         (at,) = base.fresh("i")
         order = base.order.then((at, True)) if base.order else base.order
@@ -42,6 +45,29 @@ class Elementwise:
         df = base.frame.select(*rest, F.posexplode(fn(base.element)).alias(at, name)) if order else base.frame.select(*rest, F.explode(fn(base.element)).alias(name))
         return base.like(df, columns=(*keep, name), order=order)
 
+    def _flatmap_each(self, fn, name, keep, pipeline):
+        base = self.guarded()
+        base.need_order("a sub-pipeline per element")
+        items = base.flatmap(fn, name, keep)
+        # An element's position is its key.
+        out = pipeline(items.like(items.frame, keys=(*base.keys, *base.order.names)))
+        inner = tuple(k for k in out.order.keys if k[0] not in base.order.names)
+        from flowseq.flow import Flow
+
+        return Flow(out.frame, out.columns, base.order.then(*inner), base.keys)
+
+    def flatmap_py(self, fn: Callable[[Any], Any], returns: str | T.DataType, name: str = VALUE, keep: tuple[str, ...] = ()):
+        """U4: a Python function that gives any number of items for one value, in Arrow batches."""
+        item = returns if isinstance(returns, T.DataType) else T._parse_datatype_string(returns)
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series([list(fn(v)) for v in batch.tolist()], dtype=object)
+
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        udf = F.pandas_udf(run, T.ArrayType(item))
+        return self.flatmap(lambda e: udf(e), name, keep)
+
     def flatmap_chars(self, fn: Callable[[Any], Column], name: str = VALUE, keep: tuple[str, ...] = ()):
         """The characters of a string."""
         return self.flatmap(lambda e: F.split(fn(e), ""), name, keep)._present(name)

@@ -36,13 +36,8 @@ class Groups:
         flow = flow.like(df)
         if not self._runs:
             return flow, names, None
-        changed, run, before = flow.fresh("c", "run", "p")
-        keys = F.struct(*names)
-        df = Layout(flow.frame, flow.order, flow.keys).previous(keys, before)
-        differs = F.col(before).isNull() | ~F.col(before)["v"].eqNullSafe(keys)
-        df = df.withColumn(changed, F.when(differs, 1).otherwise(0).cast("long")).drop(before)
-        df = Layout(df, flow.order, flow.keys).running_sum(F.col(changed), run).drop(changed)
-        return flow.like(df), names, run
+        (run,) = flow.fresh("run")
+        return flow.like(Layout(flow.frame, flow.order, flow.keys).runs(F.struct(*names), run)), names, run
 
     def agg(self, **named: Callable[[Any], Column] | Column):
         """Native aggregates by name; a callable gets the flow's element."""
@@ -94,15 +89,16 @@ class Groups:
         start = init if isinstance(init, Column) else F.lit(init)
         return self._grouped(flow, names, run, {name: F.aggregate(flow.collected(lambda e: self._of(flow)), start, merge)})
 
-    def top_k(self, k: int, by: Callable[[Any], Column | list[Column]] | None = None, smallest: bool = False):
+    def top_k(self, k: int, by: Callable[[Any], Any] | None = None, smallest: bool = False):
         """The elements of each key with the k largest (or smallest) sort keys.
 
-        A rank filter, which Spark also applies before the exchange.
+        ``by`` gives a Column or a list; a pair ``(Column, ascending)`` has a direction
+        of its own.  A rank filter, which Spark also applies before the exchange.
         """
         flow, names, run = self._keyed()
         keys = by(flow.element) if by else flow.value_struct()
-        keys = list(keys) if isinstance(keys, (list, tuple)) else [keys]
-        order = [c if "ASC" in str(c) or "DESC" in str(c) else (c.asc() if smallest else c.desc()) for c in keys] + flow.order.columns()
+        pairs = [c if isinstance(c, tuple) else (c, smallest) for c in (keys if isinstance(keys, list) else [keys])]
+        order = [c.asc() if up else c.desc() for c, up in pairs] + flow.order.columns()
         (rank,) = flow.fresh("r")
         parts = [*flow.keys, *([run] if run else []), *names]
         df = flow.frame.withColumn(rank, F.row_number().over(Window.partitionBy(*parts).orderBy(*order))).where(F.col(rank) <= k)

@@ -81,5 +81,22 @@ class _KeyBy:
         self._flow, self._n, self._fn = flow, n, fn
 
     def key_by(self, key: Callable[[Any], Column], name: str = "key"):
-        # Aggregations combine before they exchange by key, so no exchange is asked for ahead of them.
-        return Partition(self._flow, self._fn).by(key, name)
+        """Equal keys meet in one of n tasks.
+
+        Results are combined before they are dealt; the elements themselves only move
+        where a sub-pipeline returns elements.
+        """
+        from flowseq.flow import Result
+
+        combined = []
+
+        def noted(flow):
+            out = self._fn(flow)
+            combined.append(out is None or isinstance(out, Result))
+            return out
+
+        out = Partition(self._flow, noted).by(key, name)
+        if combined[-1]:
+            return out.like(out.frame.repartition(self._n, name))
+        dealt = self._flow.like(self._flow.frame.repartition(self._n, key(self._flow.element)))
+        return Partition(dealt, self._fn).by(key, name)

@@ -15,11 +15,16 @@ from flowseq.plans.layout import Layout
 
 class SetOperations:
     @recorded
-    def distinct(self, by: Callable[[Any], Any] | None = None):
+    def distinct(self, by: Callable[[Any], Any] | None = None, insert: Callable[[set, Any], bool] | None = None):
         """The first element of each value, or of each key.
 
-        Firsts are minima by position, so they are found before the exchange.
+        Firsts are minima by position, so they are found before the exchange.  With
+        ``insert`` a Python function decides, in order, whether an element is new to the
+        set of its key: only elements whose ``by`` is equal see each other, and those of
+        one key must fit a task.
         """
+        if insert:
+            return self._distinct_py(by, insert)
         base = self.guarded()
         keys = {n: F.col(n) for n in base.columns} if by is None else base.apply(by)
         if not base.order:
@@ -37,6 +42,22 @@ class SetOperations:
         window = Window.partitionBy(*base.keys, *keys.values()).orderBy(*base.order.columns())
         return base.like(base.frame.withColumn(rank, F.row_number().over(window)).where(F.col(rank) == 1).drop(rank))
 
+    def _distinct_py(self, by, insert):
+        base = self.guarded()
+        order = base.need_order("distinct with a Python function")
+        names = base.fresh(*["d"] * (len(base.apply(by)) if by else 1))
+        keys = list(base.apply(by).values()) if by else [F.lit(0)]
+        df = base.frame.select("*", *[c.alias(n) for n, c in zip(names, keys, strict=True)])
+        columns = list(base.columns)
+
+        def keep(pdf):
+            pdf = pdf.sort_values(order.names, ascending=[up for _, up in order.keys], kind="stable")
+            known: set = set()
+            new = [bool(insert(known, row[0] if len(columns) == 1 else row)) for row in pdf[columns].itertuples(index=False, name=None)]
+            return pdf[new]
+
+        return base.like(df.groupBy(*base.keys, *names).applyInPandas(keep, df.schema).drop(*names))
+
     @recorded
     def unique(self, by: Callable[[Any], Column] | None = None):
         """Drops elements that equal the one before, or whose key does."""

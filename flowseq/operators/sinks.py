@@ -49,8 +49,9 @@ class Sinks:
         return self.agg(**{name: F.array_sort(F.collect_set(self.value_struct()))})
 
     def to_map(self, key: str, value: str, name: str = "value"):
-        """K5: one map, as a result; of equal keys any value stays."""
-        return self.agg(**{name: F.map_from_entries(F.array_agg(F.struct(key, value)))})
+        """K5: one map, as a result; of equal keys the first stays (any, in a flow without an order), null keys are left out."""
+        firsts = self.filter(lambda e: F.col(key).isNotNull()).distinct(by=lambda e: F.col(key))
+        return firsts.agg(**{name: F.map_from_entries(F.array_agg(F.struct(key, value)))})
 
     def to_iter(self, target: list, begin: int = 0, end: int | None = None) -> int:
         """K8: write over ``target[begin:end]``; the position after the last element written."""

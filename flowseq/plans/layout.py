@@ -1,28 +1,37 @@
 """Running numbers, neighbours and running sums over a global order.
 
-A window without a partition key puts all rows into one task.  That is right for
-small inputs only, so the plan's own size estimate decides: beyond
-``SINGLE_TASK_BYTES`` the rows are range-partitioned by the order, each partition
-is treated for itself, and one summary row per partition (its count, its last
-value, its sum) is carried over to the partitions after it.  The summary has as
-many rows as there are partitions, so it is small enough to broadcast.
+A window without a partition key puts all rows into one task.  That is right only
+for input that one task reads anyway: one split of files, or as many bytes of
+driver values, with nothing in between that multiplies rows.  All other input is
+range-partitioned by the order, each partition is treated for itself, and one
+summary row per partition (its count, its last value, its sum) is carried over to
+the partitions after it.  Those rows join by partition, the key that the windows
+need as well, so they cost no exchange of their own.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowseq.order import OrderSpec
+from flowseq.plans.scratch import settle
 
-SINGLE_TASK_BYTES = 64 << 20
+#: Input of so many bytes is one split; behind an operator that multiplies rows, far less counts as small.
+SINGLE_TASK_BYTES = 32 << 20
+MULTIPLIED_BYTES = 64 << 10
 _PART = "__part"
+_MULTIPLIES = re.compile(r"\b(?:Generate|Expand|MapIn|FlatMap|\w*Join|Window)")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's output; plans it knows nothing of count as very large."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def one_split(df: DataFrame) -> bool:
+    """Whether one task reads all that a plan starts from.  Sizes are those of the sources, not estimates of results."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return size <= (min(MULTIPLIED_BYTES, SINGLE_TASK_BYTES) if _MULTIPLIES.search(plan.toString()) else SINGLE_TASK_BYTES)
 
 
 class Layout:
@@ -30,13 +39,9 @@ class Layout:
 
     def __init__(self, df: DataFrame, order: OrderSpec, keys: tuple[str, ...] = ()):
         self.order, self.keys = order, keys
-        self.single = bool(keys) or estimated_bytes(df) <= SINGLE_TASK_BYTES
-        if self.single:
-            self.df = df
-        else:
-            laid = df.repartitionByRange(*order.columns()).withColumn(_PART, F.spark_partition_id())
-            # Range bounds are sampled: every use must see the same partitions.
-            self.df = laid.persist(StorageLevel.MEMORY_AND_DISK)
+        self.single = bool(keys) or one_split(df)
+        # Range bounds are sampled: every use must see the same partitions.
+        self.df = df if self.single else settle(df.repartitionByRange(*order.columns()).withColumn(_PART, F.spark_partition_id()))
 
     @property
     def window(self):
@@ -47,33 +52,60 @@ class Layout:
         return self.df.groupBy(_PART).agg(*summaries)
 
     def _joined(self, carried: DataFrame) -> DataFrame:
-        return self.df.join(F.broadcast(carried), _PART, "left")
+        return self.df.join(carried, _PART, "left")
+
+    def _ahead(self, column: str):
+        """What the partitions before this one add up to: one row a partition, so one task is enough."""
+        before = Window.partitionBy(F.lit(0)).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(before), F.lit(0)).alias("__ahead")
+
+    def _done(self, df: DataFrame) -> DataFrame:
+        return df.drop(_PART)
 
     def index(self, name: str) -> DataFrame:
         """With the 0-based position of each row."""
         local = F.row_number().over(self.window).cast("long") - 1
         if self.single:
             return self.df.withColumn(name, local)
-        ahead = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1))
-        carried = self._carried(F.count(F.lit(1)).alias("n")).select(_PART, F.coalesce(ahead, F.lit(0)).alias("__ahead"))
-        return self._joined(carried).withColumn(name, local + F.col("__ahead")).drop(_PART, "__ahead")
+        carried = self._carried(F.count(F.lit(1)).alias("n")).select(_PART, self._ahead("n"))
+        return self._done(self._joined(carried).withColumn(name, local + F.col("__ahead")).drop("__ahead"))
 
-    def previous(self, value: Column, name: str) -> DataFrame:
-        """With a struct ``v`` of the preceding row's value; null on the first row."""
+    def _previous(self, value: Column, name: str) -> DataFrame:
         boxed = F.struct(value.alias("v"))
         local = F.lag(boxed).over(self.window)
         if self.single:
             return self.df.withColumn(name, local)
-        last = F.last(boxed).over(self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        ends = self.df.select(_PART, last.alias("e")).groupBy(_PART).agg(F.first("e").alias("e"))
+        last = F.max_by(boxed, self.order.key()) if self.order.direction() else F.min_by(boxed, self.order.key()) if self.order.direction() is False else None
+        if last is None:
+            at_end = F.last(boxed).over(self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            ends = self.df.select(_PART, at_end.alias("e")).groupBy(_PART).agg(F.first("e").alias("e"))
+        else:
+            ends = self._carried(last.alias("e"))
         carried = ends.select(_PART, F.lag("e").over(Window.partitionBy(F.lit(0)).orderBy(_PART)).alias("__end"))
-        return self._joined(carried).withColumn(name, F.coalesce(local, F.col("__end"))).drop(_PART, "__end")
+        return self._joined(carried).withColumn(name, F.coalesce(local, F.col("__end"))).drop("__end")
+
+    def previous(self, value: Column, name: str) -> DataFrame:
+        """With a struct ``v`` of the preceding row's value; null on the first row."""
+        return self._done(self._previous(value, name))
 
     def running_sum(self, value: Column, name: str) -> DataFrame:
         """With the sum of ``value`` over all rows up to and with each row."""
         local = F.sum(value).over(self.window.rowsBetween(Window.unboundedPreceding, 0))
         if self.single:
             return self.df.withColumn(name, local)
-        ahead = F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1))
-        carried = self._carried(F.sum(value).alias("s")).select(_PART, F.coalesce(ahead, F.lit(0)).alias("__ahead"))
-        return self._joined(carried).withColumn(name, local + F.col("__ahead")).drop(_PART, "__ahead")
+        carried = self._carried(F.sum(value).alias("s")).select(_PART, self._ahead("s"))
+        return self._done(self._joined(carried).withColumn(name, local + F.col("__ahead")).drop("__ahead"))
+
+    def runs(self, value: Column, name: str) -> DataFrame:
+        """With the 1-based number of the run of equal values that each row is in: both steps share this layout."""
+        before, changed = f"{name}_p", f"{name}_c"
+        df = self._previous(value, before)
+        differs = F.col(before).isNull() | ~F.col(before)["v"].eqNullSafe(value)
+        same = Layout.__new__(Layout)
+        same.order, same.keys, same.single = self.order, self.keys, self.single
+        same.df = df.withColumn(changed, F.when(differs, 1).otherwise(0).cast("long")).drop(before)
+        return same.running_sum(F.col(changed), name).drop(changed)
+
+    def partitions(self) -> tuple[DataFrame, str | None]:
+        """The rows with the number of their range partition, whose order is that of the rows; None for one sequence."""
+        return (self.df, None) if self.single else (self.df, _PART)

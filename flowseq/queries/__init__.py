@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 import flowseq as fs
-from flowseq.queries.calendar import ex_calendar
+from flowseq.functions import Optional, TopK
+from flowseq.functions import unwrap as unwrap_value
+from flowseq.functions import unwrap_or as value_or
+from flowseq.plans.scratch import scratch_dir
+from flowseq.queries.calendar import CALENDAR_SQL, ex_calendar
+from flowseq.streaming import Concat, PlaceHolder
 
 #: Unique order of ``lineitem``.
 LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
@@ -35,6 +40,16 @@ def _events(spark, sf_dir):
     return _table(spark, sf_dir, "events", "event_id")
 
 
+def _row(spark: SparkSession, **results) -> DataFrame:
+    """Single results side by side."""
+    return spark.range(1).select(*[r.to_df().scalar().alias(n) for n, r in results.items()])
+
+
+def _made(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """What a sink on the driver holds, for comparison."""
+    return spark.createDataFrame(rows, schema)
+
+
 # --- sources -------------------------------------------------------------------------------
 
 
@@ -60,7 +75,7 @@ def generate_times(spark, sf_dir):
 
 @query("SELECT CAST(range * 7 AS BIGINT) AS v FROM range(0, 100) WHERE range * 7 < 500")
 def generate_until(spark, sf_dir):
-    return fs.generate(spark, lambda i: i * 7).until(lambda v: v >= 500, limit=100).map(lambda v: {"v": v}).to_df()
+    return fs.generate(spark, lambda i: i * 7).until(lambda v: v >= 500).map(lambda v: {"v": v}).to_df()
 
 
 @query("SELECT CAST(1 AS BIGINT) AS v")
@@ -105,10 +120,10 @@ def zip_with_index(spark, sf_dir):
     return _events(spark, sf_dir).map(lambda e: {"event_id": e.event_id}).zip_with_index("idx").to_df()
 
 
-@query("SELECT event_id, COALESCE(CASE WHEN event_type = 'purchase' THEN user_id END, -1) AS v FROM events")
+@query("SELECT COALESCE(CASE WHEN event_type = 'purchase' THEN user_id END, -1) AS v FROM events")
 def unwrap_or(spark, sf_dir):
-    bought = _events(spark, sf_dir).map(lambda e: {"event_id": e.event_id, "v": F.when(e.event_type == "purchase", e.user_id)})
-    return bought.map(lambda e: {"event_id": e.event_id, "v": F.coalesce(e.v, F.lit(-1))}).to_df()
+    bought = _events(spark, sf_dir).map(lambda e: F.when(e.event_type == "purchase", e.user_id))
+    return bought.unwrap_or(-1).map(lambda v: {"v": v}).to_df()
 
 
 @query("SELECT n_name AS v FROM nation")
@@ -116,10 +131,97 @@ def unwrap_present(spark, sf_dir):
     return _table(spark, sf_dir, "nation", "n_nationkey").map(lambda e: e.n_name).unwrap().map(lambda v: {"v": v}).to_df()
 
 
-@query("SELECT event_id FROM events WHERE value > 5")
+@query("SELECT event_id, (SELECT COUNT(*) FROM events) AS seen FROM events WHERE value > 5")
 def inspect_passes(spark, sf_dir):
+    """Everything passes; what was seen on the way is read after a run."""
     seen = Observation()
-    return _events(spark, sf_dir).inspect(seen, F.count(F.lit(1)).alias("n")).filter(lambda e: e.value > 5).map(lambda e: {"event_id": e.event_id}).to_df()
+    flow = _events(spark, sf_dir).inspect(seen, F.count(F.lit(1)).alias("n"))
+    flow.act()
+    return flow.filter(lambda e: e.value > 5).map(lambda e: {"event_id": e.event_id, "seen": F.lit(seen.get["n"])}).to_df()
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
+def iterate_frame(spark, sf_dir):
+    """An existing DataFrame as the source."""
+    return fs.from_df(spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey = 1"), "n_nationkey").map(lambda e: {"n_nationkey": e.n_nationkey}).to_df()
+
+
+@query("SELECT CAST(2 * n_nationkey AS BIGINT) AS v FROM nation")
+def iterate_result(spark, sf_dir):
+    """The items of a result: what an array sink gave is a source again."""
+    keys = _table(spark, sf_dir, "nation", "n_nationkey").map(lambda e: e.n_nationkey.cast("long")).to_vector()
+    return fs.iterate_column(keys).map(lambda v: {"v": v * 2}).to_df()
+
+
+@query("SELECT n_regionkey, n_name FROM nation")
+def flatten_arrays(spark, sf_dir):
+    nation = _table(spark, sf_dir, "nation", "n_nationkey").groupby(lambda e: {"r": e.n_regionkey}).valueby(lambda e: F.struct(e.n_regionkey, e.n_name)).to_vector("v")
+    return nation.map(lambda e: e.v).flatten().map(lambda v: {"n_regionkey": v["n_regionkey"], "n_name": v["n_name"]}).to_df()
+
+
+@query("SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 0.25), (2, 0.5), (3, 0.75)) t(i, v)")
+def range_fraction(spark, sf_dir):
+    return fs.range_(spark, 0.0, 1.0, 0.25).zip_with_index("i").map(lambda e: {"i": e.i.cast("int"), "v": e.value.cast("double")}).to_df()
+
+
+@query("SELECT user_id * 2 AS v FROM events WHERE event_type = 'purchase' UNION ALL SELECT NULL FROM events WHERE event_type <> 'purchase'")
+def optional_map(spark, sf_dir):
+    return _events(spark, sf_dir).map(lambda e: F.when(e.event_type == "purchase", e.user_id)).map_optional(lambda v: v * 2).map(lambda v: {"v": v}).to_df()
+
+
+@query("SELECT user_id + i AS v FROM events, (VALUES (0), (1)) t(i) WHERE event_type = 'purchase'")
+def optional_flatmap(spark, sf_dir):
+    bought = _events(spark, sf_dir).map(lambda e: F.when(e.event_type == "purchase", e.user_id))
+    return bought.flatmap_optional(lambda v: F.array(v, v + 1)).map(lambda v: {"v": v}).to_df()
+
+
+@query("SELECT CASE WHEN user_id % 2 = 0 THEN user_id END AS v FROM events")
+def optional_filter(spark, sf_dir):
+    return _events(spark, sf_dir).map(lambda e: e.user_id).filter_optional(lambda v: v % 2 == 0).map(lambda v: {"v": v}).to_df()
+
+
+@query("SELECT * FROM (VALUES ('map', '6'), ('flatmap', '3,3'), ('filter', 'none'), ('unwrap', '3'), ('unwrap_or', '7'), ('seen', '3,3')) t(op, v)")
+def optional_values(spark, sf_dir):
+    """Optionals on the driver, as one that holds a three and one that holds nothing show them."""
+    some, none, seen = Optional(3), Optional(), []
+    some.foreach(seen.append)
+    some.inspect(seen.append)
+    none.inspect(seen.append).foreach(seen.append)
+    rows = [
+        ("map", str(some.map(lambda v: v * 2).unwrap())), ("flatmap", ",".join(map(str, some.flatmap(lambda v: [v, v]) + none.flatmap(lambda v: [v])))),
+        ("filter", str(some.filter(lambda v: v > 3).unwrap_or("none"))), ("unwrap", str(unwrap_value(3))), ("unwrap_or", str(value_or(none.value, 7))), ("seen", ",".join(map(str, seen))),
+    ]
+    return _made(spark, rows, "op string, v string")
+
+
+@query("SELECT event_id, length(event_type) + 1 AS n FROM events")
+def map_python(spark, sf_dir):
+    """A Python function of one value."""
+    kinds = _events(spark, sf_dir).map(lambda e: F.concat_ws(":", e.event_id, e.event_type)).map_py(lambda s: len(s.split(":")[1]) + 1 + 1000 * int(s.split(":")[0]), "long")
+    return kinds.map(lambda v: {"event_id": F.floor(v / 1000), "n": v % 1000}).to_df()
+
+
+@query("SELECT n_nationkey, CAST(unnest(range(n_regionkey)) AS BIGINT) AS v FROM nation")
+def flatmap_python(spark, sf_dir):
+    """A Python function that gives any number of items."""
+    nation = _table(spark, sf_dir, "nation", "n_nationkey").map(lambda e: {"n_nationkey": e.n_nationkey, "r": e.n_regionkey})
+    return nation.map(lambda e: e.n_nationkey * 10 + e.r).flatmap_py(lambda v: [v // 10 * 10 + i for i in range(v % 10)], "long").map(lambda v: {"n_nationkey": F.floor(v / 10).cast("int"), "v": v % 10}).to_df()
+
+
+@query("SELECT n_nationkey, ch, i FROM (SELECT n_nationkey, unnest(string_split(n_name, '')) AS ch, unnest(range(length(n_name))) AS i FROM nation) WHERE ch <> 'A' QUALIFY ROW_NUMBER() OVER (PARTITION BY n_nationkey ORDER BY i) <= 3")
+def flatmap_pipeline(spark, sf_dir):
+    """A sub-pipeline for each element's letters: numbered, without A, the first three."""
+    nation = _table(spark, sf_dir, "nation", "n_nationkey")
+    first = lambda f: f.zip_with_index("i").filter(lambda e: e.ch != "A").take_first(3)
+    return nation.flatmap(lambda e: F.split(e.n_name, ""), "ch", keep=("n_nationkey",), pipeline=first).map(lambda e: {"n_nationkey": e.n_nationkey, "ch": e.ch, "i": e.i}).to_df()
+
+
+@query("SELECT length(w) AS len, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY 1")
+def text_stream(spark, sf_dir):
+    """Text files as a stream of parts: the texts are written as lines first."""
+    path = f"{scratch_dir(spark)}/text_stream"
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.translate("text", "\r\n", "\x01\x02").alias("text")).write.mode("overwrite").text(path)
+    return fs.read_text(spark, path, " ", "w").groupby(lambda w: {"len": F.length(w).cast("long")}).count("n").to_df()
 
 
 # --- limits --------------------------------------------------------------------------------
@@ -194,12 +296,25 @@ def topk_smallest(spark, sf_dir):
     return _table(spark, sf_dir, "orders", "o_orderkey").top_k(10, lambda e: e.o_totalprice, smallest=True).map(lambda e: {"o_orderkey": e.o_orderkey}).to_df()
 
 
+@query("SELECT event_type, event_id FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 2")
+def topk_named_like_a_direction(spark, sf_dir):
+    """A key column whose name holds the word for a direction."""
+    named = _events(spark, sf_dir).map(lambda e: {"event_type": e.event_type, "event_id": e.event_id, "DESCENT": e.value})
+    return named.groupby(lambda e: {"event_type": e.event_type}).top_k(2, lambda e: e.DESCENT).map(lambda e: {"event_type": e.event_type, "event_id": e.event_id}).to_df()
+
+
 # --- aggregates ----------------------------------------------------------------------------
 
 
 @query("SELECT COUNT(*) AS c, MIN(value) AS mn, MAX(value) AS mx FROM events")
 def agg_count_min_max(spark, sf_dir):
-    return _events(spark, sf_dir).agg(c=F.count(F.lit(1)), mn=F.min("value"), mx=F.max("value")).to_df()
+    values = _events(spark, sf_dir).map(lambda e: e.value)
+    return _row(spark, c=values.count(), mn=values.min(), mx=values.max())
+
+
+@query("SELECT arg_min(event_id, (value, event_id)) AS value FROM events")
+def agg_min_by_first(spark, sf_dir):
+    return _events(spark, sf_dir).map(lambda e: {"event_id": e.event_id, "v": e.value}).min(lambda e: e.v).map(lambda e: {"value": e["event_id"]}).to_df()
 
 
 @query("SELECT arg_max(event_id, (value, -event_id)) AS value FROM events")
@@ -218,9 +333,37 @@ def agg_mul(spark, sf_dir):
     return fs.range_(spark, 1, 13).mul().map(lambda v: {"p": v}).to_df()
 
 
-@query("SELECT CAST(1000 + SUM(user_id) AS BIGINT) AS r FROM events")
+@query("SELECT CAST(1000 + SUM(user_id) AS BIGINT) AS r, CAST((1000 + SUM(user_id)) // COUNT(*) AS BIGINT) AS a FROM events")
+def agg_sum_avg_init(spark, sf_dir):
+    users = _events(spark, sf_dir).map(lambda e: e.user_id)
+    return _row(spark, r=users.sum(init=1000), a=users.avg(init=1000))
+
+
+@query("SELECT CAST(list_reduce(list_prepend(9, list(r_regionkey ORDER BY r_regionkey)), lambda a, x: a * 3 + x) AS BIGINT) AS r FROM region")
 def agg_reduce_init(spark, sf_dir):
-    return _events(spark, sf_dir).map(lambda e: e.user_id).sum(init=1000).map(lambda v: {"r": v}).to_df()
+    keys = _table(spark, sf_dir, "region", "r_regionkey").map(lambda e: e.r_regionkey.cast("long"))
+    return keys.reduce(lambda a, b: a * 3 + b, init=F.lit(9).cast("long")).map(lambda v: {"r": v}).to_df()
+
+
+@query("SELECT string_agg(n_name, '>' ORDER BY n_nationkey) AS r FROM nation")
+def agg_reduce_associative(spark, sf_dir):
+    names = _table(spark, sf_dir, "nation", "n_nationkey").map(lambda e: e.n_name)
+    return names.reduce(lambda a, b: F.concat(a, F.lit(">"), b), associative=True).map(lambda v: {"r": v}).to_df()
+
+
+@query("SELECT length(string_agg(n_name, '')) AS n, string_agg(upper(n_name[1]), '' ORDER BY n_nationkey DESC) AS initials FROM nation")
+def agg_aggregate_built(spark, sf_dir):
+    """An accumulator of a type that follows the elements', and one that a finish turns into a result."""
+    names = _table(spark, sf_dir, "nation", "n_nationkey").map(lambda e: e.n_name)
+    n = names.aggregate(F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    initials = names.aggregate(F.array().cast("array<string>"), lambda a, x: F.array_prepend(a, F.upper(F.substring(x, 1, 1))), finish=lambda a: F.array_join(a, ""))
+    return _row(spark, n=n, initials=initials)
+
+
+@query("SELECT n_regionkey, CAST(median(n_nationkey) AS DOUBLE) AS m FROM nation GROUP BY n_regionkey")
+def agg_python(spark, sf_dir):
+    nation = _table(spark, sf_dir, "nation", "n_nationkey")
+    return nation.partition(lambda f: f.aggregate_py(lambda pdf: float(pdf["n_nationkey"].median()), "double")).by(lambda e: e.n_regionkey, "n_regionkey").map(lambda e: {"n_regionkey": e.n_regionkey, "m": e.value}).to_df()
 
 
 @query("SELECT string_agg(r_name, '>' ORDER BY r_regionkey) AS r FROM region")
@@ -325,6 +468,33 @@ def concat_ordered(spark, sf_dir):
     return regions.concat(nations).zip_with_index("idx").to_df()
 
 
+@query("SELECT user_id % 3 AS k, MIN(event_id) AS event_id FROM events GROUP BY user_id % 3, user_id % 5")
+def distinct_inserter(spark, sf_dir):
+    """A Python function decides what is new, among the elements of a key."""
+
+    def insert(known: set, element: tuple) -> bool:
+        return not (element[1] % 5 in known or known.add(element[1] % 5))
+
+    slim = _events(spark, sf_dir).map(lambda e: {"event_id": e.event_id, "user_id": e.user_id})
+    return slim.distinct(by=lambda e: e.user_id % 3, insert=insert).map(lambda e: {"k": e.user_id % 3, "event_id": e.event_id}).to_df()
+
+
+_WORD_RUNS = """
+    WITH w AS (SELECT doc_id, i, w FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents) WHERE w <> ''),
+    n AS (SELECT doc_id, w, ROW_NUMBER() OVER (ORDER BY doc_id, i) - 1 AS pos, lag(w) OVER (ORDER BY doc_id, i) IS DISTINCT FROM w AS fresh FROM w)
+    SELECT pos // 1000 AS k, COUNT(*) AS n, CAST(SUM(CAST(fresh AS INT)) AS BIGINT) AS runs FROM n GROUP BY 1
+"""
+
+
+@query(_WORD_RUNS)
+def range_layout_words(spark, sf_dir):
+    """All words in order, numbered, in windows of a thousand, with the runs that begin in each: range partitions and carried summaries."""
+    words = _table(spark, sf_dir, "documents", "doc_id").split_text(" ", lambda e: e.text, "w").zip_with_index("pos")
+    firsts = words.unique(by=lambda e: e.w).groupby(lambda e: {"k": F.floor(e.pos / 1000)}).count("runs")
+    sizes = words.groupby(lambda e: {"k": F.floor(e.pos / 1000)}).count("n")
+    return sizes.to_df().join(firsts.to_df(), "k", "left").select("k", "n", F.coalesce("runs", F.lit(0)).alias("runs"))
+
+
 # --- windows and splitting -----------------------------------------------------------------
 
 
@@ -410,6 +580,38 @@ def link_compose(spark, sf_dir):
     return fs.range_(spark, 10).transform(pipeline).map(lambda v: {"v": v}).to_df()
 
 
+@query("SELECT n_regionkey, ROW_NUMBER() OVER (ORDER BY n_regionkey DESC) - 1 AS i, COUNT(*) AS c FROM nation GROUP BY n_regionkey")
+def partition_ordered(spark, sf_dir):
+    """Keys in an order of choice, here descending."""
+    counts = _table(spark, sf_dir, "nation", "n_nationkey").partition(lambda f: f.agg(c=F.count(F.lit(1)))).by(lambda e: e.n_regionkey, "n_regionkey", reverse=True)
+    return counts.zip_with_index("i").to_df()
+
+
+@query("SELECT event_type, COUNT(*) AS c FROM events WHERE value > 10 GROUP BY event_type")
+def named_traversal(spark, sf_dir):
+    """A flow under a name, run over by SQL."""
+    _events(spark, sf_dir).filter(lambda e: e.value > 10).named("flow_events")
+    return spark.sql("SELECT event_type, COUNT(*) AS c FROM flow_events GROUP BY event_type")
+
+
+@query("SELECT CAST(SUM(v) AS BIGINT) AS s, CAST(2 AS BIGINT) AS runs FROM (SELECT range AS v FROM range(2, 20)) WHERE v % 2 = 0")
+def push_mode(spark, sf_dir):
+    """Elements pushed to a place holder; a later run has only its own."""
+    source = PlaceHolder(spark, "v long", scratch_dir(spark))
+    source.start(lambda f: f.count()).run(1, 2, 3).end().value()
+    total = source.start(lambda f: f.filter(lambda v: v % 2 == 0).sum()).run(*range(2, 10)).run(*range(10, 20)).end()
+    return total.map(lambda v: {"s": v, "runs": F.lit(2).cast("long")}).to_df()
+
+
+@query("SELECT * FROM (VALUES (0, 1), (1, 2), (2, 9)) t(i, v)")
+def push_left_right(spark, sf_dir):
+    """Two inputs pushed to separately, the left one's elements first."""
+    left, right = PlaceHolder(spark, "v int", scratch_dir(spark)), PlaceHolder(spark, "v int", scratch_dir(spark))
+    right.push(9)
+    left.push(1, 2)
+    return Concat(left, right).end(lambda f: f.zip_with_index("i")).map(lambda e: {"i": e.i.cast("int"), "v": e.v}).to_df()
+
+
 # --- parallel ------------------------------------------------------------------------------
 
 
@@ -432,6 +634,34 @@ def parallel_partition_sum(spark, sf_dir):
     return lines.parallel_partition(4, lambda f: f.agg(s=F.sum("l_partkey"))).key_by(lambda e: e.l_suppkey % 8, "k").to_df()
 
 
+@query("SELECT l_linenumber AS n, COUNT(*) AS c FROM lineitem WHERE l_quantity > 10 GROUP BY 1")
+def parallel_pipe(spark, sf_dir):
+    """Workers that pass elements on, dealt at random."""
+    lines = _table(spark, sf_dir, "lineitem").map(lambda e: {"n": e.l_linenumber, "q": e.l_quantity})
+    out = lines.parallel(4, lambda f: f.filter(lambda e: e.q > 10), shuffle_by=fs.RandomAssign(7))
+    return out.groupby(lambda e: {"n": e.n}).count("c").to_df()
+
+
+@query("SELECT CAST(range AS INT) AS pid FROM range(5)")
+def parallel_void(spark, sf_dir):
+    """Workers without a result: their numbers."""
+    return _table(spark, sf_dir, "nation").parallel(5, lambda f: None, name="pid").to_df()
+
+
+@query("SELECT range AS pid, CAST(0 AS BIGINT) AS value FROM range(3)")
+def parallel_idle(spark, sf_dir):
+    """Workers that get no elements have the result of an empty input."""
+    none = _table(spark, sf_dir, "nation").filter(lambda e: F.lit(False))
+    return none.parallel(3, lambda f: f.count()).map(lambda e: {"pid": e.pid.cast("long"), "value": e.value}).to_df()
+
+
+@query("SELECT l_suppkey % 8 AS k, l_orderkey, l_linenumber FROM lineitem QUALIFY ROW_NUMBER() OVER (PARTITION BY l_suppkey % 8 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) <= 2")
+def parallel_partition_pipe(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem", LINEITEM_ORDER)
+    out = lines.parallel_partition(3, lambda f: f.take_first(2)).key_by(lambda e: e.l_suppkey % 8)
+    return out.map(lambda e: {"k": e.l_suppkey % 8, "l_orderkey": e.l_orderkey, "l_linenumber": e.l_linenumber}).to_df()
+
+
 # --- sinks ---------------------------------------------------------------------------------
 
 
@@ -440,9 +670,67 @@ def to_set_size(spark, sf_dir):
     return _table(spark, sf_dir, "part", "p_partkey").map(lambda e: e.p_brand).to_set().map(lambda v: {"c": F.size(v).cast("long")}).to_df()
 
 
-@query("SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 10")
+@query("SELECT ROW_NUMBER() OVER (ORDER BY n_nationkey) + 1 AS place, n_name, 12 AS upto FROM nation QUALIFY place < 12")
 def to_iter_bounded(spark, sf_dir):
-    return _table(spark, sf_dir, "nation", "n_nationkey").take_first(10).map(lambda e: {"n_name": e.n_name}).to_df()
+    """Written over positions 2 to 11 of a list of 12; the position after the last one written."""
+    target = [None] * 12
+    upto = _table(spark, sf_dir, "nation", "n_nationkey").map(lambda e: e.n_name).to_iter(target, 2)
+    return _made(spark, [(i, v, upto) for i, v in enumerate(target) if v is not None], "place long, n_name string, upto int")
+
+
+@query("SELECT list(n_name ORDER BY n_nationkey)[3] AS third, count(*) AS n FROM nation")
+def to_vector_item(spark, sf_dir):
+    names = _table(spark, sf_dir, "nation", "n_nationkey").map(lambda e: e.n_name)
+    return names.to_vector("v").map(lambda v: {"third": v[2], "n": F.size(v).cast("long")}).to_df()
+
+
+@query("SELECT n_regionkey AS k, arg_min(n_name, n_nationkey) AS v FROM nation GROUP BY n_regionkey")
+def to_map_first(spark, sf_dir):
+    """Of equal keys the first stays."""
+    nation = _table(spark, sf_dir, "nation", "n_nationkey").map(lambda e: {"k": e.n_regionkey, "v": e.n_name})
+    return nation.to_map("k", "v", "m").to_df().select(F.explode("m").alias("k", "v"))
+
+
+@query("SELECT n_regionkey AS k, string_agg(n_name, ',' ORDER BY n_name) AS v FROM nation GROUP BY n_regionkey")
+def group_to_set(spark, sf_dir):
+    sets = _table(spark, sf_dir, "nation").groupby(lambda e: {"k": e.n_regionkey}).valueby(lambda e: e.n_name).to_set("v")
+    return sets.map(lambda e: {"k": e.k, "v": F.array_join(e.v, ",")}).to_df()
+
+
+@query("SELECT r_name AS name, ROW_NUMBER() OVER (ORDER BY r_regionkey) - 1 AS i FROM region")
+def to_containers(spark, sf_dir):
+    """A new list, a list given, a heap given, and what a function on the driver sees: all the same elements in order."""
+    names = _table(spark, sf_dir, "region", "r_regionkey").map(lambda e: e.r_name)
+    names.act()
+    seen: list[str] = []
+    names.foreach(seen.append)
+    given: list[str] = names.to([])
+    heap = names.to(TopK(100, smallest=True))
+    if not seen == given == names.to(list) or sorted(heap.drain()) != sorted(seen):
+        raise AssertionError("sinks differ")
+    return _made(spark, list(zip(seen, range(len(seen)), strict=True)), "name string, i long")
+
+
+@query("SELECT p_partkey, ROW_NUMBER() OVER (ORDER BY p_retailprice, p_partkey DESC) - 1 AS i FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 5)")
+def topk_drain(spark, sf_dir):
+    """The heap gives up the least of the best first."""
+    best = _table(spark, sf_dir, "part", "p_partkey").top_k(5, lambda e: e.p_retailprice).map(lambda e: F.struct(e.p_partkey, e.p_retailprice))
+    heap = best.to(TopK(5, by=lambda r: r["p_retailprice"]))
+    return _made(spark, [(r["p_partkey"], i) for i, r in enumerate(heap.drain())], "p_partkey long, i long")
+
+
+@query("SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS text FROM region")
+def println_lines(spark, sf_dir):
+    import io
+
+    out = io.StringIO()
+    _table(spark, sf_dir, "region", "r_regionkey").map(lambda e: e.r_name).println(out)
+    return _made(spark, [(out.getvalue(),)], "text string")
+
+
+@query("SELECT '<' || string_agg(lower(r_name), '|' ORDER BY r_regionkey) || '>' AS line FROM region")
+def print_with_format(spark, sf_dir):
+    return _table(spark, sf_dir, "region", "r_regionkey").map(lambda e: e.r_name).text(F.lower, "|", "<", ">").to_df()
 
 
 @query("SELECT '[' || string_agg(r_name, ', ' ORDER BY r_regionkey) || ']' AS line FROM region")
@@ -463,7 +751,7 @@ def ex_topk_freq_words(spark, sf_dir):
     """The five most frequent words of each length."""
     words = _table(spark, sf_dir, "documents").split_text("[^A-Za-z0-9_]+", lambda e: e.text, "word").map(lambda w: {"word": F.lower(w)})
     counts = words.groupby(lambda w: {"word": w}).count("cnt")
-    best = counts.groupby(lambda e: {"len": F.length(e.word)}).top_k(5, lambda e: [e.cnt.desc(), e.word.asc()])
+    best = counts.groupby(lambda e: {"len": F.length(e.word)}).top_k(5, lambda e: [(e.cnt, False), (e.word, True)])
     return best.map(lambda e: {"len": e.len, "word": e.word, "cnt": e.cnt}).to_df()
 
 
@@ -495,4 +783,4 @@ def ex_terasort(spark, sf_dir):
     return slim.zip_with_index("idx").to_df()
 
 
-QUERIES["ex_calendar"] = ex_calendar
+query(CALENDAR_SQL)(ex_calendar)

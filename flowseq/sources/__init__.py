@@ -94,9 +94,23 @@ class Generator:
         """The first n elements."""
         return Flow(self._spark.range(n).select(F.col("id").alias(_POS), self._fn(F.col("id")).alias(VALUE)), (VALUE,), OrderSpec(((_POS, True),)))
 
-    def until(self, stop: Callable[[Column], Column], limit: int) -> Flow:
-        """Up to the first element for which ``stop`` holds, of at most ``limit``."""
-        return self.times(limit).take_while(lambda e: ~F.coalesce(stop(e), F.lit(False)))
+    def until(self, stop: Callable[[Column], Column], limit: int | None = None) -> Flow:
+        """Up to the first element for which ``stop`` holds.
+
+        The end is looked for now, in ranges that double, so the flow is exactly as long
+        as it has to be; a ``stop`` that never holds raises after 2^62 elements.
+        ``limit`` instead looks no further and gives at most so many elements.
+        """
+        if limit is not None:
+            return self.times(limit).take_while(lambda e: ~F.coalesce(stop(e), F.lit(False)))
+        begin, end = 0, 1 << 16
+        while begin < 1 << 62:
+            ids = self._spark.range(begin, end).where(F.coalesce(stop(self._fn(F.col("id"))), F.lit(False)))
+            first = ids.agg(F.min("id")).first()[0]
+            if first is not None:
+                return self.times(first)
+            begin, end = end, 2 * end
+        raise ValueError("no element ends the sequence")
 
 
 def generate(spark: SparkSession, fn: Callable[[Column], Column]) -> Generator:
@@ -107,3 +121,19 @@ def generate(spark: SparkSession, fn: Callable[[Column], Column]) -> Generator:
 def characters(df: DataFrame, text: str, order=None) -> Flow:
     """A text column as a stream of characters."""
     return from_df(df.select(text, *[k if isinstance(k, str) else k[0] for k in ([order] if isinstance(order, str) else order or [])]), order).flatmap(lambda e: F.split(F.col(text), ""))
+
+
+def read_text(spark: SparkSession, path: str, separator: str | None = None, name: str = VALUE, ordered: bool = False) -> Flow:
+    """Text files as their lines, or as the non-empty parts between matches of ``separator``.
+
+    ``ordered`` keeps the order of files by path and of lines in a file.
+    """
+    lines = spark.read.text(path)
+    if ordered:
+        place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias(_POS)]
+        lines = lines.select(F.col("value").alias(name), *place)
+        order = OrderSpec((("__file", True), ("__block", True), (_POS, True)))
+    else:
+        lines, order = lines.select(F.col("value").alias(name)), OrderSpec()
+    flow = Flow(lines, (name,), order)
+    return flow.split_text(separator, lambda e: e, name) if separator else flow

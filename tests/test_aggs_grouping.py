@@ -77,3 +77,24 @@ def test_adjacent(spark):  # G10, Q6
     assert f.groupby().adjacent().to_vector("v").to() == [(1, [1, 1]), (2, [2]), (1, [1, 1, 1])]
     assert fs.elements(spark, None, None, 1, schema="int").groupby().adjacent().count("n").to() == [(None, 2), (1, 1)]
     assert fs.elements(spark, schema="int").groupby().adjacent().count("n").to() == []
+
+
+def test_equal_keys_and_names_of_directions(spark):  # K5, O8
+    f = fs.iterate(spark, [(5, "a"), (9, "b"), (5, "c"), (None, "d")], "DESCENT int, v string")
+    assert f.to_map("DESCENT", "v").value() == {5: "a", 9: "b"}
+    top = f.groupby(lambda e: {"g": F.lit(1)}).top_k(1, lambda e: e.DESCENT).map(lambda e: e.DESCENT)
+    assert top.to() == [9]
+    both = f.groupby(lambda e: {"g": F.lit(1)}).top_k(2, lambda e: [(e.DESCENT, False), (e.v, False)]).map(lambda e: e.v)
+    assert both.to() == ["b", "c"]
+
+
+def test_associative_reduce_over_ranges(spark, monkeypatch):  # A7
+    from flowseq.plans import layout
+
+    f = fs.iterate(spark, [str(i) for i in range(60)])
+    join = lambda a, b: F.concat(a, F.lit(","), b)
+    want = ",".join(map(str, range(60)))
+    assert f.reduce(join, associative=True).value() == f.reduce(join).value() == want
+    monkeypatch.setattr(layout, "SINGLE_TASK_BYTES", -1)
+    assert f.reduce(join, associative=True).value() == want
+    assert fs.elements(spark, schema="string").reduce(join, associative=True).value() is None

@@ -111,3 +111,23 @@ def test_optional_values():  # P13 to P17
 def test_python_functions(spark):  # U1, U3
     assert fs.range_(spark, 3).map_py(lambda v: v * 10, "long").to() == [0, 10, 20]
     assert fs.range_(spark, 5).aggregate_py(lambda pdf: int(pdf["value"].iloc[0] * 100 + len(pdf)), "long").value() == 5
+
+
+def test_until_finds_its_own_end(spark):  # S11
+    assert fs.generate(spark, lambda i: i * 3).until(lambda v: v >= 300_000).count().value() == 100_000
+    assert fs.generate(spark, lambda i: i).until(lambda v: v >= 0).to() == []
+    assert fs.generate(spark, lambda i: i).until(lambda v: v >= 9, limit=4).to() == [0, 1, 2, 3]
+
+
+def test_text_files_in_order(spark, tmp_path):  # S14
+    (tmp_path / "a.txt").write_text("one two\n\nthree")
+    (tmp_path / "b.txt").write_text("four  five\n")
+    assert fs.read_text(spark, str(tmp_path), ordered=True).to() == ["one two", "", "three", "four  five"]
+    assert fs.read_text(spark, str(tmp_path), " ", ordered=True).to() == ["one", "two", "three", "four", "five"]
+
+
+def test_pipeline_for_each_element(spark):  # P5
+    f = fs.elements(spark, 3, 0, 2, schema="int")
+    items = lambda v: F.when(v > 0, F.sequence(F.lit(1), v))
+    assert f.flatmap(items, pipeline=lambda g: g.reverse().take_first(2)).to() == [3, 2, 2, 1]
+    assert f.flatmap(items, pipeline=lambda g: g.sum()).to() == [6, 3]
