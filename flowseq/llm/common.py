@@ -1,16 +1,13 @@
-"""What the training-data operators share: tables, scratch space, sizes."""
+"""What the training-data operators share: tables, scratch space, sizes, names."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go when the session names no shared folder (tests).
-DEFAULT_SCRATCH = "file:///tmp/checkpoints"
+from flowseq.plans.scratch import drop_settled, scratch_dir, settle
 
-_scratch: dict[int, str] = {}
+__all__ = ["drop_settled", "free_names", "scratch_dir", "settle", "table", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,53 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder for this application's intermediate tables.
-
-    It lies in the shared folder of ``spark.checkpoint.dir``, so executors and
-    driver see the same files, and goes away when the application ends.
-    """
-    key = id(spark.sparkContext._jsc)
-    if key not in _scratch:
-        base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH
-        path = f"{base.rstrip('/')}/flowseq-{uuid.uuid4().hex}"
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.mkdirs(target)
-        fs.deleteOnExit(target)
-        _scratch[key] = path
-    return _scratch[key]
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no recomputation of what is
-    above, and non-repeatable layouts (partition ids, sampling) are frozen.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
-def drop_settled(df: DataFrame) -> None:
-    """Remove the files of a table that :func:`settle` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    own = f"/{scratch_dir(spark).rsplit('/', 1)[1]}/"
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if own in parent:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` has not, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Total UTF-8 bytes of the texts: what group counts are sized by."""
     row = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("n")).first()
     return int(row["n"] or 0)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,9 +1,11 @@
 """Connected components by alternating large-star and small-star steps.
 
 Both steps (Kiveris et al., "Connected Components in MapReduce and Beyond") only
-use equi-joins on a node and minima by node, so a node with very many neighbours
-is combined map-side and its join partition can be split.  Every round is written
-to the shared folder, which keeps the plans short and survives lost executors.
+use equi-joins on a node and minima by node, which are combined map-side.  A node
+with very many neighbours would be a hot key of the join; there are at most so many
+of those as edges allow, so they are joined by a broadcast of bounded size instead.
+Every round is written to the shared folder, which keeps the plans short and
+survives lost executors.
 """
 
 from __future__ import annotations
@@ -14,6 +16,23 @@ from pyspark.sql import functions as F
 from flowseq.llm.common import drop_settled, settle
 
 
+#: A node is hot with more edges than this, and than this share of all edges.
+HOT_EDGES, HOT_SHARE = 256, 1000
+
+
+def _with_lowest(edges: DataFrame, lowest: DataFrame, n: int) -> DataFrame:
+    """``edges`` with ``m`` of their ``u``.  At most 2 n / (n / HOT_SHARE) nodes are hot."""
+    if n <= HOT_EDGES:
+        return edges.join(lowest.select("u", "m"), "u")
+    limit = max(HOT_EDGES, n // HOT_SHARE)
+    hot = lowest.where(F.col("n") > limit).select("u", "m")
+    if hot.isEmpty():
+        return edges.join(lowest.select("u", "m"), "u")
+    hot = F.broadcast(hot)
+    rest = edges.join(hot.select("u"), "u", "left_anti").join(lowest.where(F.col("n") <= limit).select("u", "m"), "u")
+    return rest.unionByName(edges.join(hot, "u"))
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], int(row["h"] or 0)
@@ -31,14 +50,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        first = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        # Only neighbours above a node move, so the others need not meet its minimum.
+        large = _with_lowest(both.where(F.col("v") > F.col("u")), first, state[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select("u", "v", "m")
         nxt = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = settle(nxt.unionAll(lowest.select("u", F.col("m").alias("v"))).distinct())
         old, edges = edges, nxt
         drop_settled(old)
+        drop_settled(first)
         was, state = state, _state(edges)
         if was == state:
             break

@@ -43,7 +43,7 @@ GRAIN = 16
 END_ID = 2
 #: Pieces that one salt of a class should hold.
 SALT_PIECES = 50_000
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 MAX_CACHED = 48
 
 _models: dict[str, object] = {}

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from flowseq.llm.common import settle
+from flowseq.llm.common import free_names, settle
 from flowseq.llm.components import connected_components
 
 SHINGLE = 4
@@ -188,8 +188,10 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
         if hit.any():
             unite(label, ident[left[hit]], ident[right[hit]])
         at = upto
-    child = np.flatnonzero(label != np.arange(len(known)))
-    return pd.DataFrame({"u": known[child].view(np.int64), "v": known[label[child]].view(np.int64)})
+    # Each class as a chain, not as a star: no node has more than two neighbours here.
+    order = np.argsort(label, kind="stable")
+    same = label[order[1:]] == label[order[:-1]]
+    return pd.DataFrame({"u": known[order[:-1][same]].view(np.int64), "v": known[order[1:][same]].view(np.int64)})
 
 
 def links(fingerprints: DataFrame) -> DataFrame:
@@ -201,14 +203,14 @@ def links(fingerprints: DataFrame) -> DataFrame:
 
 
 def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` of every row."""
+    """``doc_id, fp, root, component_id`` of every row; ``root`` is one fingerprint of the component."""
     printed = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")))
     first = settle(printed.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(links(first))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(smallest, "root").select("fp", "component_id")
-    return printed.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return printed.join(of, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,19 +218,24 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return assign(docs, id_col=id_col, text_col=text_col).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def keep_rows(docs: DataFrame, stays: DataFrame, code: Column, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id and ``code`` are a ``doc_id, code`` of ``stays``, once each.
+
+    Rows are told apart by both, as ids may repeat or be null.
+    """
+    mine, theirs, its = free_names(docs, "code", "their_code", "their_id")
+    named = docs.withColumn(mine, code)
+    stays = stays.select(F.col("doc_id").alias(its), F.col("code").alias(theirs))
+    kept = named.join(stays, (named[mine] == stays[theirs]) & named[id_col].eqNullSafe(stays[its]), "left_semi")
+    return kept.dropDuplicates([id_col, mine]).drop(mine)
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: of each component the document with the smallest id stays.
+    """``docs`` with one row of each component: that with the smallest id (null ids last).
 
-    Of rows that repeat the id that stays, one stays.  Rows without an id only
-    stay if their component has no id at all, one for each fingerprint.
+    Of rows of the component that share this id the one with the smallest fingerprint stays, once.
     """
     found = settle(assign(docs, id_col=id_col, text_col=text_col))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    odd = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("doc_id").isNull())
-    if odd.isEmpty():
-        return kept
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    nameless = kept.where(F.col(id_col).isNull()).withColumn("__fp", fingerprint_column(F.col(text_col)))
-    alone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("__fp")).distinct()
-    return named.unionByName(nameless.join(alone, "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("best")
+    stays = settle(found.groupBy("root").agg(best).select("best.doc_id", F.col("best.fp").alias("code")))
+    return keep_rows(docs, stays, fingerprint_column(F.col(text_col)), id_col)
