@@ -8,16 +8,17 @@ and non-ASCII characters), hashed into ``BUCKETS``.  The machine scores
 so a pair of terms, such as an insult with a mention of a group, gets a weight
 of its own through the factors, which a linear model can't give it.
 
-It is fitted on the driver on at most about ``max_rows`` labelled rows (a hash
-sample if there are more; the executors send hashed terms, never texts), over
-the ``FEATURES`` buckets that tell most about the label or occur most.  Scoring
-is one map-side pass over all whole texts.
+It is fitted on the driver on at most ``max_rows`` labelled rows (those with the
+least hashes; the executors send hashed terms, never texts), over every bucket that
+a labelled row has: weights and factors are sparse only where nothing is known.  The
+penalised log loss is minimised by L-BFGS; the rows of a held-in tenth say when to
+stop, at every size alike.  Scoring is one map-side pass over all whole texts.
 
 Defined results: a null text is the empty text and is scored by the bias; labels
 that are null, or whose document is missing, teach nothing; a document labelled
-more than once teaches once, as toxic if any of its labels says so; without any
-usable label every score is 0; repeated documents each get a row; other columns
-are not read.
+more than once teaches once, as toxic if any of its labels says so; of rows that
+repeat an id the text with the least hash teaches; without any usable label every
+score is 0; repeated documents each get a row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from flowseq.llm.common import free_names
+
 BUCKETS = 1 << 20
-MAX_ROWS = 20_000
-FEATURES = 768
+MAX_ROWS = 12_000
 FACTORS = 6
 FOLDS = 5
+#: Penalties on squared weights and factors, and steps without a better held-in loss after which fitting ends.
+RIDGE, FACTOR_RIDGE, PATIENCE = 0.2, 0.5, 8
+#: Scale of a feature without any evidence of its own; one is that of strong evidence.
+LEAST_SCALE = 0.01
+CACHED_TERMS = 200_000
 
 # ASCII letters in lower case, digits and bytes of other characters stay; the rest parts terms.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -53,74 +60,163 @@ def bucket(term: bytes) -> int:
 
 @dataclass(frozen=True)
 class FactorizationMachine:
+    """``buckets`` are those with a weight, in ascending order; all others weigh nothing."""
+
     bias: float
-    index: dict[int, int] = field(default_factory=dict)
+    buckets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     linear: np.ndarray = field(default_factory=lambda: np.zeros(0))
     factors: np.ndarray = field(default_factory=lambda: np.zeros((0, FACTORS)))
 
-    def logit(self, features: list[int]) -> float:
-        if not features:
+    def logit(self, hashed: np.ndarray) -> float:
+        """The machine's sum for a set of buckets."""
+        if not len(self.buckets) or not len(hashed):
             return self.bias
-        v = self.factors[features]
-        return float(self.bias + self.linear[features].sum() + 0.5 * ((v.sum(0) ** 2) - (v**2).sum(0)).sum())
-
-
-def _select(sets: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
-    """Buckets by information about the label (two thirds) and by frequency (the rest)."""
-    df, pos = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for s, label in zip(sets, y, strict=True):  # a row holds each bucket once
-        df[s] += 1
-        pos[s] += label
+        at = np.minimum(np.searchsorted(self.buckets, hashed), len(self.buckets) - 1)
+        at = at[self.buckets[at] == hashed]
+        v = self.factors[at]
+        return float(self.bias + self.linear[at].sum() + 0.5 * ((v.sum(0) ** 2) - (v**2).sum(0)).sum())
+
+
+class _Rows:
+    """Sparse rows of ones, by row and by feature."""
+
+    def __init__(self, sets: list[np.ndarray], m: int):
+        sizes = np.array([len(s) for s in sets], np.int64)
+        self.n, self.m = len(sets), m
+        self.flat = np.concatenate([np.zeros(0, np.int64), *sets])
+        self.some = np.flatnonzero(sizes)
+        self.start = (np.cumsum(sizes) - sizes)[self.some]
+        order = np.argsort(self.flat, kind="stable")
+        self.row = np.repeat(np.arange(self.n), sizes)[order]
+        used, first = np.unique(self.flat[order], return_index=True)
+        self.used, self.first = used, first
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The sum of ``w`` over each row's features."""
+        out = np.zeros((self.n, *w.shape[1:]))
+        if len(self.some):
+            out[self.some] = np.add.reduceat(w[self.flat], self.start, axis=0)
+        return out
+
+    def transposed(self, r: np.ndarray) -> np.ndarray:
+        """The sum of ``r`` over each feature's rows."""
+        out = np.zeros((self.m, *r.shape[1:]))
+        if len(self.used):
+            out[self.used] = np.add.reduceat(r[self.row], self.first, axis=0)
+        return out
+
+
+def _unpacked(params: np.ndarray, m: int) -> tuple[float, np.ndarray, np.ndarray]:
+    return float(params[0]), params[1 : m + 1], params[m + 1 :].reshape(m, FACTORS)
+
+
+def _logits(params: np.ndarray, rows: _Rows) -> tuple[np.ndarray, np.ndarray]:
+    """The machine's sums, and by row the sums of factors; a factor at a time, which bounds memory."""
+    w0, w, v = _unpacked(params, rows.m)
+    z = w0 + rows.times(w - 0.5 * (v**2).sum(1))
+    s = np.stack([rows.times(np.ascontiguousarray(v[:, f])) for f in range(FACTORS)], 1)
+    return z + 0.5 * (s**2).sum(1), s
+
+
+def _loss(params: np.ndarray, rows: _Rows, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log loss and its gradient."""
+    z, s = _logits(params, rows)
+    _, _, v = _unpacked(params, rows.m)
+    value = float(np.logaddexp(0, z).sum() - (y * z).sum())
+    g = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+    gx = rows.transposed(g)
+    gv = np.stack([rows.transposed(g * s[:, f]) for f in range(FACTORS)], 1) - v * gx[:, None]
+    return value, np.concatenate([[g.sum()], gx, gv.ravel()])
+
+
+def _direction(grad: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
+    """L-BFGS: the inverse Hessian that the last steps suggest, times the gradient."""
+    q, alphas = grad.copy(), []
+    for step, change, rho in reversed(pairs):
+        alphas.append(rho * (step @ q))
+        q -= alphas[-1] * change
+    if pairs:
+        step, change, _ = pairs[-1]
+        q *= (step @ change) / (change @ change)
+    for (step, change, rho), alpha in zip(pairs, reversed(alphas), strict=True):
+        q += (alpha - rho * (change @ q)) * step
+    return -q
+
+
+def _minimise(params: np.ndarray, loss, held_in, *, steps: int = 200, memory: int = 7) -> np.ndarray:
+    """The parameters with the least held-in loss on the way to the minimum."""
+    value, grad = loss(params)
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    best, least, idle = params, held_in(params), 0
+    for _ in range(steps):
+        d = _direction(grad, pairs)
+        slope = grad @ d
+        if slope > -1e-9:
+            break
+        t = 1.0 if pairs else min(1.0, 1 / np.abs(grad).sum())
+        while True:  # halve until the loss falls enough
+            new, grown = params + t * d, 0.0
+            grown, its = loss(new)
+            if grown <= value + 1e-4 * t * slope or t < 1e-12:
+                break
+            t /= 2
+        change = its - grad
+        if (curve := change @ (new - params)) > 1e-10:
+            pairs = [*pairs[-memory + 1 :], (new - params, change, 1 / curve)]
+        small = value - grown < 1e-6 * max(1.0, abs(value))
+        params, value, grad = new, grown, its
+        if (now := held_in(params)) < least:
+            best, least, idle = params, now, 0
+        elif (idle := idle + 1) >= PATIENCE:
+            break
+        if small:
+            break
+    return best
+
+
+def evidence(sets: list[np.ndarray], y: np.ndarray, m: int) -> np.ndarray:
+    """How far each feature may easily move, up to one: by its chi-squared of the label against what chance gives among so many.
+
+    No feature is left out; one without any evidence has the scale ``LEAST_SCALE``.
+    """
     n, p = len(y), y.sum()
-    seen = np.flatnonzero(df >= 3)
-    a, b = pos[seen], df[seen] - pos[seen]
-    c, d = p - a, (n - p) - b
+    flat = np.concatenate([np.zeros(0, np.int64), *sets])
+    seen = np.bincount(flat, minlength=m)
+    toxic = np.bincount(flat, np.repeat(y, [len(s) for s in sets]), minlength=m)
+    cells = ((toxic, seen * p / n), (seen - toxic, seen * (n - p) / n), (p - toxic, (n - seen) * p / n), (n - p - seen + toxic, (n - seen) * (n - p) / n))
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = sum(np.where(o > 0, o * np.log(o / e), 0) for o, e in ((a, df[seen] * p / n), (b, df[seen] * (n - p) / n), (c, (n - df[seen]) * p / n), (d, (n - df[seen]) * (n - p) / n)))
-    # Twice the gain is chi-squared: below this a feature is noise among so many.
-    strong = seen[np.argsort(-gain, kind="stable")][: 2 * size // 3]
-    strong = strong[2 * np.sort(gain)[::-1][: len(strong)] > 2 * np.log(max(len(seen), 2))]
-    common = seen[np.argsort(-df[seen], kind="stable")][: size // 3]
-    return np.unique(np.concatenate([strong, common]))
+        gain = sum(np.where(o > 0, o * np.log(o / e), 0) for o, e in cells)
+    return np.clip(2 * gain / (2 * np.log(max(m, 2))), LEAST_SCALE, 1)
 
 
-def fit_machine(sets: list[np.ndarray], y: np.ndarray, *, size: int = FEATURES, epochs: int = 60, seed: int = 17) -> FactorizationMachine:
-    """Mini-batch Adam on the log loss; the weights shrink as rows get fewer."""
+def fit_machine(sets: list[np.ndarray], y: np.ndarray, *, seed: int = 17) -> FactorizationMachine:
+    """The machine for rows that are sets of ascending buckets."""
     if not len(y):
         return FactorizationMachine(-np.inf)
+    buckets = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]))
+    known = [np.searchsorted(buckets, s) for s in sets]
+    m, rng = len(buckets), np.random.default_rng(seed)
+    tenth = rng.permutation(len(y))[: len(y) // 10]
+    inner = np.setdiff1d(np.arange(len(y)), tenth)
+    rows, checks = _Rows([known[i] for i in inner], m), _Rows([known[i] for i in tenth], m)
+
+    def held_in(params: np.ndarray) -> float:
+        z = _logits(params, checks)[0]
+        return float(np.logaddexp(0, z).sum() - (y[tenth] * z).sum())
+
+    # Parameters in units of their scale: penalties and steps are alike for all.
+    scale = evidence([known[i] for i in inner], y[inner], m)
+    unit = np.concatenate([[1.0], scale, np.repeat(scale, FACTORS)])
+
+    def loss(u: np.ndarray) -> tuple[float, np.ndarray]:
+        value, grad = _loss(unit * u, rows, y[inner])
+        penalty = np.concatenate([[0.0], np.full(m, RIDGE), np.full(m * FACTORS, FACTOR_RIDGE)])
+        return value + float((penalty * u * u).sum() / 2), unit * grad + penalty * u
+
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    bias = float(np.log(rate / (1 - rate)))
-    chosen = _select(sets, y, size)
-    index = {int(b): i for i, b in enumerate(chosen)}
-    slot = np.full(BUCKETS, -1)
-    slot[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(y), len(chosen)), np.uint8)
-    for r, s in enumerate(sets):
-        at = slot[s]
-        x[r, at[at >= 0]] = 1
-    rng = np.random.default_rng(seed)
-    params = [np.array([bias]), np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS))]
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    decay = [0.0, 1.0 / len(y), 4.0 / len(y)]
-    batch, step = 256, 0
-    epochs = max(epochs, -(-6000 * batch // max(len(y), 1) // 4)) if len(y) < 4000 else epochs
-    for _ in range(min(epochs, 600)):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), batch):
-            rows = order[at : at + batch]
-            xb = x[rows].astype(np.float64)
-            s = xb @ params[2]
-            z = params[0][0] + xb @ params[1] + 0.5 * (s**2 - xb @ params[2] ** 2).sum(1)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
-            gx = xb.T @ g
-            grads = [np.array([g.sum()]), gx, xb.T @ (g[:, None] * s) - params[2] * gx[:, None]]
-            step += 1
-            for p, (m, v), gr, dec in zip(params, moments, grads, decay, strict=True):
-                gr = gr + dec * p
-                m += 0.1 * (gr - m)
-                v += 0.001 * (gr**2 - v)
-                p -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(float(params[0][0]), index, params[1], params[2])
+    start = np.concatenate([[np.log(rate / (1 - rate))], np.zeros(m), rng.normal(0, 0.05, m * FACTORS)])
+    w0, w, v = _unpacked(unit * _minimise(start, loss, lambda u: held_in(unit * u)), m)
+    return FactorizationMachine(w0, buckets, w.copy(), v.copy())
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -128,39 +224,39 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def _hash_terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    known: dict[bytes, int] = {}
+    for batch in batches:
+        yield pa.array([_hashed(text.as_py() or "", known) for text in batch], pa.list_(pa.int32()))
+
+
+def _hashed(text: str, known: dict[bytes, int]) -> np.ndarray:
+    """The ascending buckets of a text's terms; ``known`` keeps those of terms met before."""
+    if len(known) > CACHED_TERMS:
+        known.clear()
+    found = terms(text)
+    for t in found.difference(known):
+        known[t] = bucket(t)
+    return np.unique(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> FactorizationMachine:
-    """Fit on the labelled documents outside the held-out fold, ``max_rows`` of them at most (expected number)."""
+    """Fit on the labelled documents outside the held-out fold, ``max_rows`` of them at most."""
     usable = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
         .where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
-    every = max(1, -(-usable.count() // max_rows))
-    taught = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(~held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0))
-
-    @arrow_udf("array<int>")
-    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            out = []
-            for text in batch.to_pylist():
-                found = terms(text or "")
-                for t in found:
-                    if t not in known:
-                        known[t] = bucket(t)
-                out.append(sorted({known[t] for t in found}))
-                if len(known) > 500_000:
-                    known.clear()
-            yield pa.array(out, pa.list_(pa.int32()))
-
-    rows = slim.join(taught, "doc_id").select("doc_id", "y", hashed("text").alias("f")).toArrow()
-    ids, y = rows.column("doc_id").to_numpy(), rows.column("y").to_numpy()
+    # A bounded number of rows, so they may be broadcast, and the documents need not move.
+    taught = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    hashed = slim.join(taught, "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), arrow_udf(_hash_terms, "array<int>")(F.col("text")).alias("f"))
+    rows = hashed.groupBy("doc_id").agg(F.min(F.struct("h", "f", "y")).alias("r")).select("doc_id", "r.y", "r.f").orderBy("doc_id").toArrow()
     lists = rows.column("f").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    _, first = np.unique(ids, return_index=True)
-    return fit_machine([flat[starts[i] : starts[i + 1]] for i in first], (y[first] > 0).astype(float))
+    starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
+    y = rows.column("y").to_numpy()
+    return fit_machine([flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)], (y > 0).astype(float))
 
 
 def with_score(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -170,22 +266,10 @@ def with_score(docs: DataFrame, model: FactorizationMachine, *, text_col: str =
     @arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fm = shipped.value
-        known: dict[bytes, int] = {}  # term -> feature, -1 if it has none
+        known: dict[bytes, int] = {}
         for batch in batches:
-            out = []
-            for text in batch.to_pylist():
-                features = set()
-                for t in terms(text or ""):
-                    i = known.get(t)
-                    if i is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        i = known[t] = fm.index.get(bucket(t), -1)
-                    if i >= 0:
-                        features.add(i)
-                z = fm.logit(sorted(features))
-                out.append(1 / (1 + np.exp(-z)) if z > -700 else 0.0)
-            yield pa.array(out, pa.float64())
+            z = np.array([fm.logit(_hashed(text.as_py() or "", known)) for text in batch])
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) * (z > -np.inf), pa.float64())
 
     return docs.withColumn(out_col, score(F.col(text_col)))
 
@@ -199,5 +283,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the machine doesn't reject, with their columns."""
-    scored = with_score(docs, fit(docs, labels), out_col="__toxicity")
-    return scored.where(F.col("__toxicity") < 0.5).drop("__toxicity")
+    (score,) = free_names(docs, "score")
+    scored = with_score(docs, fit(docs, labels), out_col=score)
+    return scored.where(F.col(score) < 0.5).drop(score)
