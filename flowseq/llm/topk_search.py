@@ -1,14 +1,16 @@
 """Exact top-k search by inner product with multi-resolution segment statistics.
 
-Vectors become integers, floor(256 x).  A vector is cut into 1, 4 and then 16
+Vectors become integers, floor(256 x).  A vector is cut into 1, 4, 16 and then 32
 segments; each segment is known by its mean and its deviation.  For two vectors,
 
     d^2 >= sum over segments of length * ((mean - mean')^2 + (dev - dev')^2),
 
 and with the exact norms a lower bound of the distance is an upper bound of the
-inner product, (|q|^2 + |x|^2 - d^2) / 2.  Candidates are bounded coarse to fine;
-those that can't reach the k-th best score found so far drop out, and survivors
-get exact scores.  Every bound is rounded outwards, so ties stay exact.
+inner product, (|q|^2 + |x|^2 - d^2) / 2.  Pairs are bounded coarse to fine; those
+that can't reach the query's k-th best score found so far drop out, pair by pair,
+and only survivors get exact scores.  The k-th best scores are known early: first
+from a bounded number of rows on the driver, then, chunk by chunk, from the pairs
+with the highest bounds.  Every bound is rounded outwards, so ties stay exact.
 
 The queries are taken in hash blocks of bounded size.  A block is broadcast, all
 candidates are searched against it in one map-side pass, each task keeps its k
@@ -16,8 +18,9 @@ best by query, and those are merged by query.
 
 Defined results: vectors that are null, or hold null or non-finite components,
 take no part; vectors of different lengths are never compared; rows that repeat a
-``vec_id`` are one vector (that with the greatest components); empty tables give
-an empty result.  Scores beyond 64 bits end at the largest or smallest long.
+``vec_id`` are vectors of their own, each a candidate of the others and, if a query,
+with ranks of its own; empty tables give an empty result.  Scores beyond 64 bits end
+at the largest or smallest long.
 """
 
 from __future__ import annotations
@@ -31,11 +34,14 @@ from pyspark.sql import functions as F
 
 from flowseq.llm.common import settle
 
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16, 32)
 SCALE = 256
 #: Queries in a block (expected number), and candidates that are scored at once.
 BLOCK_QUERIES = 2048
-BATCH_ROWS = 4096
+BATCH_ROWS = 1024
+#: Rows whose scores give the first k-th best of every query, and pairs that are scored at once.
+SEED_ROWS = 1024
+PAIRS_AT_ONCE = 1 << 17
 _EXACT = float(1 << 53)
 
 
@@ -65,49 +71,72 @@ def _python_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The queries of one block and dimension, with the best rows found so far."""
+    """The queries of one block and dimension, with the best rows found so far.
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
-        self.ids, self.x, self.k = ids, x, k
+    ``bounded`` counts the pairs of a query and a row that were looked at, ``scored``
+    those of them that got an exact score.
+    """
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.rows, self.ids, self.x, self.k = rows, ids, x, k
         self.levels = summaries(x)
         self.most = np.abs(x).max(initial=0)
-        self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
-        self.floor = np.full(len(ids), -np.inf)
+        self.best: list[list[tuple[int, int, int]]] = [[] for _ in ids]
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor.copy()
+        self.bounded = self.scored = 0
 
-    def search(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def search(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Look at vectors, given by row number, id and components."""
         if not len(ids) or not len(self.ids) or not self.k:
             return
-        large = float(self.most) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) >= _EXACT
-        if large:
-            scores = _python_scores(self.x, x)
-            alive = np.ones(scores.shape, bool)
-        else:
-            # The deviations lose about half the digits where values nearly cancel.
-            slack = 1e-7 * float(self.most + 1) * float(np.abs(x).max(initial=0) + 1) * x.shape[1] + 1e-6
-            alive = np.ones((len(self.ids), len(ids)), bool)
-            columns = np.arange(len(ids))
-            if np.isfinite(self.floor).any():
-                for mine, theirs in zip(self.levels, summaries(x), strict=True):
-                    alive[:, columns] &= mine @ theirs[columns].T + slack >= self.floor[:, None]
-                    columns = np.flatnonzero(alive.any(0))
-                    if not len(columns):
-                        return
-            rows = np.flatnonzero(alive.any(1))
-            scores = np.zeros(alive.shape)
-            scores[np.ix_(rows, columns)] = self.x[rows] @ x[columns].T
-        alive = alive & (self.ids[:, None] != ids[None, :])
-        masked = np.where(alive, scores.astype(object) if large else scores, -np.inf)
-        for r in np.flatnonzero(alive.any(1)).tolist():
-            line = masked[r]
-            if len(line) > self.k:
-                kth = np.partition(line.astype(float), len(line) - self.k)[len(line) - self.k]
-                at = np.flatnonzero((line.astype(float) >= kth) & alive[r])
-            else:
-                at = np.flatnonzero(alive[r])
-            got = self.best[r] + [(-int(scores[r, c]), int(ids[c])) for c in at.tolist()]
+        self.bounded += len(self.ids) * len(ids)
+        other = self.rows[:, None] != rows[None, :]
+        if float(self.most) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) >= _EXACT:
+            q, c = np.nonzero(other)
+            self._keep(q, c, _python_scores(self.x, x)[q, c], rows, ids)
+            return
+        # The deviations lose about half the digits where values nearly cancel.
+        slack = 1e-7 * float(self.most + 1) * float(np.abs(x).max(initial=0) + 1) * x.shape[1] + 1e-6
+        alive = other
+        for mine, theirs in zip(self.levels, summaries(x), strict=True):
+            at, columns = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+            if not len(at):
+                return
+            bounds = np.full(alive.shape, -np.inf)
+            bounds[np.ix_(at, columns)] = mine[at] @ theirs[columns].T + slack
+            alive &= bounds >= self.floor[:, None]
+        # The highest bounds first: what they score raises the floor for the rest.
+        bounds[~alive] = -np.inf
+        first = min(2 * self.k, len(ids))
+        top = np.argpartition(-bounds, first - 1, axis=1)[:, :first]
+        q = np.repeat(np.arange(len(self.ids)), first)
+        c = top.ravel()
+        some = alive[q, c]
+        self._score(q[some], c[some], x, rows, ids)
+        alive[q, c] = False
+        alive &= bounds >= self.floor[:, None]
+        self._score(*np.nonzero(alive), x, rows, ids)
+
+    def _score(self, q: np.ndarray, c: np.ndarray, x: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
+        for at in range(0, len(q), PAIRS_AT_ONCE):
+            a, b = q[at : at + PAIRS_AT_ONCE], c[at : at + PAIRS_AT_ONCE]
+            self._keep(a, b, np.einsum("ij,ij->i", self.x[a], x[b]), rows, ids)
+
+    def _keep(self, q: np.ndarray, c: np.ndarray, scores: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
+        self.scored += len(q)
+        good = scores >= self.floor[q]
+        q, c, scores = q[good], c[good], scores[good]
+        # By query the best come first, equal ones by id, so only k of them matter.
+        order = np.lexsort((rows[c], ids[c], -scores, q))
+        q, c, scores = q[order], c[order], scores[order]
+        for a in np.flatnonzero(np.r_[len(q) > 0, q[1:] != q[:-1]]).tolist():
+            r, upto = int(q[a]), min(len(q), a + self.k)
+            while upto > a and q[upto - 1] != r:
+                upto -= 1
+            got = self.best[r] + [(-int(s), int(ids[i]), int(rows[i])) for s, i in zip(scores[a:upto].tolist(), c[a:upto].tolist(), strict=True)]
             self.best[r] = sorted(got)[: self.k]
             if len(self.best[r]) == self.k:
-                self.floor[r] = -self.best[r][-1][0]
+                self.floor[r] = max(self.floor[r], -self.best[r][-1][0])
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -118,34 +147,57 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     plain = plain.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(F.exists("v", bad), F.lit(True)))
     # Doubles hold floor(256 x) exactly: scaling by a power of two is exact.
     whole = plain.select("vec_id", F.transform("v", lambda x: F.when(F.abs(x) >= float(1 << 54), x * SCALE).otherwise(F.floor(x * SCALE).cast("double"))).alias("v"))
-    # Ids alone tell whether any repeats; only then do vectors move.
-    if plain.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty():
-        return whole
-    return whole.groupBy("vec_id").agg(F.max("v").alias("v"))
+    # The table is written before it is used, which freezes the row numbers.
+    return settle(whole.withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "v"))
+
+
+def _by_dimension(rows: np.ndarray, ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(dimension, rows, ids, vectors)`` in chunks of ``BATCH_ROWS``, from lists laid end to end."""
+    starts = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        for i in range(0, len(at), BATCH_ROWS):
+            part = at[i : i + BATCH_ROWS]
+            yield d, rows[part], ids[part], flat[starts[part][:, None] + np.arange(d)] if d else np.zeros((len(part), 0))
+
+
+def _arrays(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, ids, lengths and components of a batch or table ``row, vec_id, v``."""
+    row, ids, lists = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch.column(i) for i in range(3)))
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    plain = lambda x: x.to_numpy(zero_copy_only=False)
+    return plain(row), plain(ids), plain(lists.value_lengths()), plain(lists.flatten())
+
+
+def _blocks(queries: tuple, k: int, floors: dict[int, np.ndarray]) -> dict[int, Block]:
+    by_dim: dict[int, list] = {}
+    for d, *part in _by_dimension(*queries):
+        by_dim.setdefault(d, []).append(part)
+    return {d: Block(*(np.concatenate(c) for c in zip(*parts, strict=True)), k, floors.get(d)) for d, parts in by_dim.items()}
+
+
+def _seeded(queries: tuple, seeds: tuple, k: int) -> dict[int, np.ndarray]:
+    """A k-th best score of every query, from few rows."""
+    blocks = _blocks(queries, k, {})
+    for d, *part in _by_dimension(*seeds):
+        if d in blocks:
+            blocks[d].search(*part)
+    return {d: b.floor for d, b in blocks.items()}
 
 
 def _search(shipped, k: int):
+    names = ["query_row", "query_id", "vec_id", "row", "score"]
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shipped.value
-        by_dim: dict[int, list[int]] = {}
-        for i, v in enumerate(vectors):
-            by_dim.setdefault(len(v), []).append(i)
-        blocks = {d: Block(ids[at], np.array([vectors[i] for i in at], float).reshape(len(at), d), k) for d, at in by_dim.items()}
+        blocks = _blocks(*shipped.value[:1], k, shipped.value[1])
         for batch in batches:
-            their = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(1)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            starts = np.cumsum(sizes) - sizes
-            for d in set(sizes.tolist()) & set(blocks):
-                rows = np.flatnonzero(sizes == d)
-                for at in range(0, len(rows), BATCH_ROWS):
-                    part = rows[at : at + BATCH_ROWS]
-                    blocks[d].search(their[part], flat[starts[part][:, None] + np.arange(d)] if d else np.zeros((len(part), 0)))
+            for d, *part in _by_dimension(*_arrays(batch)):
+                if d in blocks:
+                    blocks[d].search(*part)
         for block in blocks.values():
-            found = [(int(q), i, -s) for q, best in zip(block.ids, block.best, strict=True) for s, i in best]
-            columns = list(zip(*found, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+            found = [(int(r), int(q), i, row, -s) for r, q, best in zip(block.rows, block.ids, block.best, strict=True) for s, i, row in best]
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return search
 
@@ -153,17 +205,18 @@ def _search(shipped, k: int):
 def top_k(vectors: DataFrame, *, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score``: of each vector whose id is divisible by ``query_every``, the k best others."""
     spark = vectors.sparkSession
-    usable = settle(_usable(vectors, id_col, vector_col))
+    usable = _usable(vectors, id_col, vector_col)
     queries = usable.where(F.col("vec_id") % query_every == 0)
     blocks = max(1, -(-queries.count() // block_queries))
+    seeds = _arrays(usable.orderBy(F.xxhash64("row"), "row").limit(SEED_ROWS).toArrow())
     found = None
     for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        block = (mine.column("vec_id").to_numpy(), mine.column("v").to_pylist())
-        part = usable.mapInArrow(_search(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score long")
+        mine = _arrays(queries.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow())
+        shipped = spark.sparkContext.broadcast((mine, _seeded(mine, seeds, k)))
+        part = usable.mapInArrow(_search(shipped, k), "query_row long, query_id long, vec_id long, row long, score long")
         if blocks > 1:  # one job per block: plans and broadcasts stay bounded
             part = settle(part)
         found = part if found is None else found.unionAll(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -7,15 +7,14 @@ DDL = "vec_id long, embedding array<double>, score string, v int"
 
 
 def brute(rows, k, every):
-    usable = {}
+    usable = []
     for i, v, *_ in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            w = [math.floor(256 * x) for x in v]
-            usable[i] = max(usable.get(i, w), w)
+            usable.append((i, [math.floor(256 * x) for x in v]))
     out = []
-    for q, a in usable.items():
+    for n, (q, a) in enumerate(usable):
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in usable.items() if i != q and len(b) == len(a))[:k]
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for m, (i, b) in enumerate(usable) if m != n and len(b) == len(a))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
 
@@ -48,3 +47,36 @@ def test_bounds_never_fall_below_the_score():
     q, x = np.floor(rng.normal(0, 100, (30, 37))), np.floor(rng.normal(20, 50, (50, 37)))
     for a, b in zip(topk_search.summaries(q), topk_search.summaries(x), strict=True):
         assert (a @ b.T + 1e-3 >= q @ x.T).all()
+
+
+def test_share_of_pairs_that_get_an_exact_score(spark):
+    """Bounds drop most pairs of vectors that are smooth, and a part of random ones."""
+    import numpy as np
+
+    from flowseq.llm.common import table
+
+    def share(x, queries):
+        rows = np.arange(len(x))
+        block = topk_search.Block(rows[queries], rows[queries], x[queries], 5)
+        for at in range(0, len(x), 500):
+            block.search(rows[at : at + 500], rows[at : at + 500], x[at : at + 500])
+        want = [sorted((-int(x[q] @ x[i]), i) for i in rows if i != q)[:5] for q in rows[queries][:10]]
+        assert [[(s, i) for s, i, _ in b] for b in block.best[:10]] == want
+        assert block.bounded == len(x) * len(block.ids)
+        return block.scored / block.bounded
+
+    r = np.random.default_rng(1)
+    smooth = np.floor(np.cumsum(r.normal(0, 40, (2000, 64)), 1))
+    assert share(smooth, slice(0, 2000, 50)) < 0.1
+    vectors = table(spark, "/root/testdata/sf0.01", "embeddings").orderBy("vec_id").toPandas()
+    x = np.floor(256 * np.array(vectors["embedding"].tolist(), float))
+    for queries in (slice(0, None, 50), slice(0, None, 2)):
+        part = share(x, queries)
+        print(f"scored {part:.3f} of the pairs")
+        assert part < 0.9
+
+
+def test_rows_that_repeat_an_id_are_candidates_of_each_other(spark):
+    rows = [(50, [1.0, 2.0], "x", 1), (50, [1.0, 2.5], "x", 1), (7, [0.0, 1.0], "x", 1)]
+    got = sorted(map(tuple, topk_search.top_k(spark.createDataFrame(rows, DDL)).collect()))
+    assert got == brute(rows, 5, 50) and [r[2] for r in got] == [50, 50, 7, 7]
