@@ -14,7 +14,7 @@ patterns.  A hit lies on the diagonal text position - pattern position; diagonal
 are counted in bands of twice the needed width that overlap by half, so the hits
 of any alignment within e edits fall together into one band.  Counts
 by a hash of the band, never too low, first rule out most hits.  Bands that reach the
-bound are verified by a banded alignment of the whole pattern.
+bound are verified by an alignment of the whole pattern along the band's diagonals.
 
 A quotation of part of an item, of ``EXCERPT`` bytes or more without an edit, is a
 run of consecutive q-gram hits on one diagonal: pieces overlap by more than that, so
@@ -23,15 +23,19 @@ it lies in a piece as a whole.  Such runs count where the whole pattern is not f
 Documents are never shuffled.  The patterns are shipped in blocks of at most
 ``BLOCK_BYTES`` of benchmark text; a larger benchmark takes more passes.
 
-Defined results: null and empty texts contain nothing; items that are null or
-shorter than ``SHORTEST`` bytes after folding are too common to be leaks and match
-nothing; repeated rows each give rows; empty tables give an empty result; other
-columns are never read.
+Defined results: null and empty texts contain nothing; items that are null or have no
+letter or digit match nothing; items shorter than ``SHORTEST`` bytes after folding
+match word for word, between word borders, with no shared q-grams counted; rows of the
+benchmark that share an item id, which may be null, are one item, whose texts are
+looked for together; repeated documents each give rows; empty tables give an empty
+result; other columns are never read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from flowseq.llm.common import settle
+
 Q = 7
 PATTERN = 192
 #: Step from one piece of a long item to the next.
@@ -61,6 +67,9 @@ _SHIFT = 1 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
+_WORDS = re.compile(rb"[^ ]+")
+
+
 def fold(text: str) -> bytes:
     return text.casefold().encode().translate(_FOLD)
 
@@ -98,16 +107,21 @@ class Patterns:
     """The patterns of one block of items, with their q-grams sorted."""
 
     def __init__(self, items: list[tuple[int, str]]):
+        self.ids = [item for item, _ in items]
         self.item: list[int] = []
         self.text: list[bytes] = []
-        for item, text in items:
+        self.short: dict[bytes, list[int]] = {}
+        for k, (_, text) in enumerate(items):
             data = fold(text).strip(b" ")
             if len(data) < SHORTEST:
+                if words := data.split():
+                    self.short.setdefault(b" ".join(words), []).append(k)
                 continue
             starts = [0] if len(data) <= PATTERN else [*range(0, len(data) - PATTERN, STRIDE), len(data) - PATTERN]
             for s in starts:
-                self.item.append(item)
+                self.item.append(k)
                 self.text.append(data[s : s + PATTERN])
+        self.words = _automaton(self.short)
         codes = [grams(np.frombuffer(t, np.uint8)) for t in self.text]
         self.gram = np.concatenate([*codes, np.zeros(0, np.uint64)])
         self.owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
@@ -124,43 +138,89 @@ class Patterns:
         # A band's region lies within so many bytes of its first diagonal.
         self.reach = int((sizes + 4 * self.half).max(initial=0))
 
+    def part(self, low: int, high: int) -> Patterns:
+        """The same with the q-grams of the patterns from ``low`` to ``high`` only."""
+        out = copy(self)
+        mine = (self.owner >= low) & (self.owner < high)
+        out.gram, out.owner, out.at = self.gram[mine], self.owner[mine], self.at[mine]
+        out.distinct, out.first, out.number = np.unique(out.gram, return_index=True, return_counts=True)
+        return out
+
     @staticmethod
     def _slot(codes: np.ndarray) -> np.ndarray:
         return (codes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _BITS)
 
 
-def align(pattern: bytes, region: bytes, edits: int) -> tuple[int, int, int] | None:
-    """Fewest edits of the whole pattern against any part of the region: ``(edits, start, end)``.
+def _automaton(short: dict[bytes, list[int]]):
+    if not short:
+        return None
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for words in short:
+        found.add_word(words.decode("latin-1"), words)
+    found.make_automaton()
+    return found
+
 
-    The row of the dynamic programme is the region, which a band keeps about as
-    short as the pattern; None if more than ``edits`` are needed.
+def short_matches(raw: bytes, patterns: Patterns) -> Iterator[tuple[int, int, int]]:
+    """``(item, start, end)`` of short items that stand in a case-folded text word for word, between word borders."""
+    if patterns.words is None:
+        return
+    text = raw.translate(_FOLD)
+    # Words stand one blank apart in the items, so they must here; where each was is kept.
+    places = [(m.start(), m.end()) for m in _WORDS.finditer(text)]
+    line = b" ".join(text[a:b] for a, b in places)
+    starts = np.cumsum([0, *(b - a + 1 for a, b in places)])
+    for end, words in patterns.words.iter(line.decode("latin-1")):
+        first, after = end + 1 - len(words), end + 1
+        if (not first or line[first - 1] == 32) and (after == len(line) or line[after] == 32):
+            i, j = np.searchsorted(starts, [first, after], "right") - 1
+            for item in patterns.short[words]:
+                yield item, places[int(i)][0], places[int(j)][1]
+
+
+def align(pattern: bytes, region: bytes, edits: int, diagonals: tuple[int, int] | None = None) -> tuple[int, int, int] | None:
+    """Fewest edits of the whole pattern against any part of the region: ``(edits, start, end)``, or None beyond ``edits``.
+
+    Only the ``diagonals`` (from, to; text position less pattern position) are computed;
+    without them, all that an alignment within the edits can touch.
     """
     exact = region.find(pattern)
     if exact >= 0:
         return 0, exact, exact + len(pattern)
-    text = np.frombuffer(region, np.uint8)
-    n = len(text)
-    cost, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    column = np.arange(n + 1)
+    m, n = len(pattern), len(region)
+    low, high = diagonals or (-edits, n - m + 2 * edits)
+    width = high - low + 1
+    if width <= 0:
+        return None
+    out = 1 << 20
+    # Characters and positions by diagonal: those outside the region fit nothing.
+    reach = np.arange(low, low + m + width)
+    inside = (reach >= 0) & (reach < n)
+    text = np.full(m + width, 256, np.int64)
+    text[inside] = np.frombuffer(region, np.uint8)[reach[inside]]
+    column = np.arange(width)
+    position = column + low
+    cost = np.where((position >= 0) & (position <= n), 0, out)
+    start = position.copy()
     for i, c in enumerate(pattern, 1):
-        step = np.empty(n + 1, np.int64)
-        step[0] = i
-        origin = np.empty(n + 1, np.int64)
-        origin[0] = 0
-        diagonal, down = cost[:-1] + (text != c), cost[1:] + 1
+        diagonal, down = cost + (text[i - 1 : i - 1 + width] != c), np.append(cost[1:], out) + 1
         better = diagonal <= down
-        step[1:] = np.where(better, diagonal, down)
-        origin[1:] = np.where(better, start[:-1], start[1:])
+        step = np.where(better, diagonal, down)
+        origin = np.where(better, start, np.append(start[1:], 0))
+        position = column + low + i
+        step[(position < 0) | (position > n)] = out
         # Steps along the region cost one each: a running minimum of step - column.
-        shifted = (step - column) * (n + 2) + column
-        run = np.minimum.accumulate(shifted)
-        source = run % (n + 2)
-        cost = run // (n + 2) + column
+        run = np.minimum.accumulate((step - column) * (width + 1) + column)
+        source = run % (width + 1)
+        cost = run // (width + 1) + column
         start = origin[source]
+        cost[position > n] = out
         if cost.min() > edits:
             return None
-    end = int(np.argmin(cost))
-    return (int(cost[end]), int(start[end]), end) if cost[end] <= edits else None
+    best = int(np.argmin(cost))
+    return int(cost[best]), int(start[best]), best + low + m
 
 
 def look_up(data: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +290,7 @@ def regions(
         low += int(begin[t])
         a = max(low - e, int(ends[t - 1]) if t else 0)
         b = min(low + 2 * int(half[i]) + m + e, int(ends[t]))
-        if got := align(patterns.text[p], data[a:b].tobytes(), e):
+        if got := align(patterns.text[p], data[a:b].tobytes(), e, (low - e - a, low + 2 * int(half[i]) + e - a)):
             found.append((t, p, a + got[1], a + got[2], got[0], c))
     return found
 
@@ -283,17 +343,22 @@ def matches(raw: list[bytes], patterns: Patterns, *, batch_bytes: int = BATCH_BY
             if b - a > 2 * least:
                 todo += [[(t, a, (a + b) // 2)], [(t, (a + b) // 2, b)]]
                 continue
+        # A range too short to halve is compared with some of the patterns at a time.
+        times = max(1, -(-int(found[2].sum()) // batch_matches))
+        step = -(-len(patterns.text) // times)
+        some = [patterns] if times == 1 else (patterns.part(p, p + step) for p in range(0, len(patterns.text), step))
         ends = np.cumsum([len(x) for x, _ in whole])
         origin = np.array([o for _, o in whole], np.int64)
         # The first range of a text owns the diagonals in front of it too.
         own = np.array([(a if a else -_SHIFT, b if b < len(raw[t]) else b + _SHIFT) for t, a, b in part], np.int64).reshape(-1, 2)
-        runs = None if quoted is None else []
-        for i, p, a, b, e, c in regions(data, ends, patterns, origin=origin, own=own, looked_up=found, quoted=runs):
-            shift = int(origin[i]) - (int(ends[i - 1]) if i else 0)
-            yield part[i][0], p, a + shift, b + shift, e, c
-        for i, p, a, b, e, c in runs or ():
-            shift = int(origin[i]) - (int(ends[i - 1]) if i else 0)
-            quoted.append((part[i][0], p, a + shift, b + shift, e, c))
+        for mine in some:
+            runs = None if quoted is None else []
+            # Positions are those of the concatenated ranges: back to those of the texts.
+            shift = origin - np.r_[0, ends[:-1]]
+            for i, p, a, b, e, c in regions(data, ends, mine, origin=origin, own=own, looked_up=found if times == 1 else None, quoted=runs):
+                yield part[i][0], p, a + int(shift[i]), b + int(shift[i]), e, c
+            for i, p, a, b, e, c in runs or ():
+                quoted.append((part[i][0], p, a + int(shift[i]), b + int(shift[i]), e, c))
 
 
 def _scan(shipped):
@@ -301,19 +366,24 @@ def _scan(shipped):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = Patterns(shipped.value)
+        # Rows of the benchmark that share an id, which may be null, are one item.
+        distinct = list(dict.fromkeys(patterns.ids))
+        names_of = [distinct.index(i) for i in patterns.ids] if len(distinct) < len(patterns.ids) else list(range(len(distinct)))
 
         def search(ids: list, texts: list[str], raw: list[bytes]) -> pa.RecordBatch:
             best: dict[tuple[int, int], list] = {}
             quoted: list = []
-            whole = list(matches(raw, patterns, quoted=quoted))
-            known = {(t, patterns.item[p]) for t, p, *_ in whole}
-            for t, p, a, b, e, c in [*whole, *(x for x in quoted if (x[0], patterns.item[x[1]]) not in known)]:
-                got = best.setdefault((t, patterns.item[p]), [a, b, e, c])
-                best[t, patterns.item[p]] = [min(got[0], a), max(got[1], b), min(got[2], e), max(got[3], c)]
+            whole = [(t, names_of[patterns.item[p]], a, b, e, c) for t, p, a, b, e, c in matches(raw, patterns, quoted=quoted)]
+            whole += [(t, names_of[k], a, b, 0, 0) for t, text in enumerate(raw) for k, a, b in short_matches(text, patterns)]
+            known = {x[:2] for x in whole}
+            parts = [(t, names_of[patterns.item[p]], a, b, e, c) for t, p, a, b, e, c in quoted]
+            for t, item, a, b, e, c in [*whole, *(x for x in parts if x[:2] not in known)]:
+                got = best.setdefault((t, item), [a, b, e, c])
+                best[t, item] = [min(got[0], a), max(got[1], b), min(got[2], e), max(got[3], c)]
             rows = []
-            for (t, item), (a, b, e, c) in sorted(best.items()):
+            for (t, item), (a, b, e, c) in best.items():
                 span = unfolded(texts[t], len(raw[t][:a].decode(errors="ignore")), len(raw[t][:b].decode(errors="ignore")))
-                rows.append((ids[t], item, *span, e, c))
+                rows.append((ids[t], distinct[item], *span, e, c))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
@@ -334,14 +404,15 @@ def _scan(shipped):
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """Items in order of their ids; rows that share an id are never parted, so blocks don't show in the result."""
     block, size = [], 0
-    for row in benchmark.select(F.col(item_col), F.col(text_col)).toLocalIterator():
+    for row in benchmark.select(F.col(item_col), F.col(text_col)).distinct().orderBy(item_col, text_col).toLocalIterator():
         if row[1]:
-            block.append((row[0], row[1]))
-            size += len(row[1].encode())
-            if size >= block_bytes:
+            if size >= block_bytes and block[-1][0] != row[0]:
                 yield block
                 block, size = [], 0
+            block.append((row[0], row[1]))
+            size += len(row[1].encode())
     yield block
 
 
@@ -356,12 +427,13 @@ def leaks(
     """
     slim = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     schema = "doc_id long, item_id long, start long, end long, edits long, shared_qgrams long"
-    found = None
+    found, pending = None, None
     for block in _blocks(benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")), "i", "t", block_bytes):
-        if block or found is None:
-            part = slim.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block)), schema)
-            found = part if found is None else found.unionAll(part)
-    return found
+        if block or pending is None:
+            if pending is not None:  # one job per block: plans stay short
+                found = settle(pending) if found is None else found.unionAll(settle(pending))
+            pending = slim.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block)), schema)
+    return pending if found is None else found.unionAll(pending)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

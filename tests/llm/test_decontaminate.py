@@ -58,7 +58,7 @@ def test_exact_and_edited_leaks_are_found_and_clean_texts_are_not(spark):
             expected.add((len(texts), i))
             texts.append(text)
     n = len(texts)
-    texts += [prose(200) for _ in range(60)] + ODD + ["it was a short one here"]
+    texts += [prose(200) for _ in range(60)] + ODD + ["it was a shorter one here"]
     rows = d.leaks(frame(spark, texts), bench(spark, items)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == expected
     for r in rows:
@@ -163,3 +163,31 @@ def test_items_with_replaced_words_are_found(spark):
     rows = d.leaks(frame(spark, texts), bench(spark, items)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == {(i, i) for i in range(len(items))}
     assert all(10 * d.budget(m) >= m - 9 for m in range(81, d.PATTERN + 1))
+
+
+def test_short_items_match_word_for_word(spark):
+    texts = ["It was a SHORT,  one here", "it was a short ones", "ashort one", "short one", "a short? - one!", None, ""]
+    rows = d.leaks(frame(spark, texts), bench(spark, ["Short one.", "!?", "", None])).collect()
+    assert sorted((r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in rows) == [(0, "SHORT,  one"), (3, "short one"), (4, "short? - one")]
+    assert {(r["item_id"], r["edits"], r["shared_qgrams"]) for r in rows} == {(0, 0, 0)}
+
+
+def test_null_and_repeated_item_ids_whatever_the_blocks(spark):
+    items = [prose(20) for _ in range(4)]
+    texts = [f"{prose(5)} {items[0]} {prose(9)} {items[1]} {items[2]} {prose(3)}", f"{items[3]} {prose(9)}"]
+    table = spark.createDataFrame([(7, items[0], "x"), (7, items[1], "x"), (None, items[2], "x"), (None, items[3], "x"), (7, items[0], "x"), (2, items[3], "x")], "item_id long, text string, doc_id string")
+    want = [(0, "7"), (0, "None"), (1, "2"), (1, "None")]
+    for size in (1, 1 << 20):
+        rows = d.leaks(frame(spark, texts), table, block_bytes=size).collect()
+        assert sorted((r["doc_id"], str(r["item_id"])) for r in rows) == want
+        whole = next(r for r in rows if r["item_id"] == 7)
+        assert texts[0][whole["start"] : whole["end"]].startswith(items[0]) and texts[0][: whole["end"]].endswith(items[1])
+
+
+def test_a_phrase_that_very_many_items_share_stays_in_bounds():
+    phrase = prose(8)
+    patterns = d.Patterns([(i, f"{prose(4)} {phrase} {prose(4)}") for i in range(60)])
+    raw = [f"{patterns.text[17].decode()} {phrase} {phrase}".encode()] * 3
+    whole = sorted(d.matches(raw, patterns))
+    assert {(t, patterns.item[p]) for t, p, *_ in whole} >= {(t, 17) for t in range(3)}
+    assert sorted(d.matches(raw, patterns, batch_matches=500)) == whole
