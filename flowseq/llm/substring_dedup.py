@@ -35,11 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowseq.llm.common import settle, text_bytes
+from flowseq.order import OrderSpec
+from flowseq.plans.layout import Layout
 
+_SALTS = 64
 WINDOW = 13
 PREFIX = 5
 _SPAN = WINDOW - PREFIX + 1
@@ -336,18 +339,25 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     """``uid, doc_id, text`` with a unique ``uid`` whose upper bits order like the ids, and the number of lower bits.
 
     Where ids are unique and present, which one aggregation over the ids tells, the
-    uid is the id; repeated ids get a number below.
+    uid is the id.  Else the upper bits are the id's place among all ids (null the
+    last), and the lower ones number the rows of an id, however many it has, by
+    salts, so that no task holds them all.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     top = slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.bool_or(F.col("doc_id").isNull()).alias("nameless")).first()
     if (top["most"] or 0) <= 1 and not top["nameless"]:
         return slim.withColumn("uid", F.col("doc_id")), 0
-    from pyspark.sql import Window
-
-    bits = int(top["most"]).bit_length()
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")) - 1
-    rank = F.coalesce(F.col("doc_id"), F.lit((1 << (62 - bits)) - 1))
-    return settle(slim.withColumn("uid", F.shiftleft(rank, bits) + number)), bits
+    salted = settle(slim.withColumn("at", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(_SALTS))))
+    ids = salted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    ranked = settle(Layout(ids, OrderSpec((("doc_id", True),))).index("rank"))
+    known = ranked.count()
+    most = salted.groupBy("doc_id", "salt").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    bits = (_SALTS - 1).bit_length() + int(most).bit_length()
+    if (known + 1) << bits >= 1 << 62:
+        raise ValueError("too many rows of too many ids to number them in 62 bits")
+    number = F.row_number().over(Window.partitionBy("doc_id", "salt").orderBy("at")) - 1 + F.col("salt") * (1 << int(most).bit_length())
+    numbered = salted.withColumn("number", number).join(ranked, "doc_id", "left")
+    return settle(numbered.select("doc_id", "text", (F.shiftleft(F.coalesce("rank", F.lit(known)), bits) + F.col("number")).alias("uid"))), bits
 
 
 def repeated_runs(docs: DataFrame, shift: int, *, groups: int) -> DataFrame:

@@ -1,12 +1,14 @@
 """URL filtering by host-and-path rules: a sort-merge range join.
 
 A host is keyed by its labels in reverse order, each followed by a dot, so
-``news.example.org`` becomes ``org.example.news.``.  A rule for ``example.org``
-then covers exactly the keys in the interval that starts with ``org.example.``,
-and intervals are nested or disjoint.  URLs and rules are sorted by key and
-swept together: rules open as the sweep reaches their key and close when the key
-leaves their interval, so a stack holds the active nested rules.  The path is
-the second dimension, which is tested on the few rules on the stack.
+``news.example.org`` becomes ``org.example.news.``; a rule's key is that of its host,
+a mark, and its path.  A URL has a key for each of its host's suffixes that rules
+name: ``org.``, ``org.example.`` and so on, each with the mark and the URL's path.  A
+rule then fits exactly the keys in the interval that starts with its own, and
+intervals are nested or disjoint.  URL keys and rules are sorted and swept together:
+rules open as the sweep reaches their key and close when a key leaves their interval,
+so a stack holds the active nested rules and its top is the longest for that host.
+However many rules a host has, a URL costs one place in the order for each suffix.
 
 The page table is never shuffled: each Arrow batch is sorted and swept against
 the sorted rules.  Rules are shipped in blocks of bounded size (``block_rules``
@@ -16,7 +18,8 @@ the same tasks, each sweep keeping the longest match so far.
 Defined results: a null URL or one without ``://`` has an empty host and path
 and fits no rule; repeated rows each give a row; an empty table gives an empty
 result; ties in length go to the rule with the longer host, then to the smaller
-string; other columns of the input are kept apart and never read.
+string; texts of any length are read whole; other columns of the input are kept
+apart and never read.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ BLOCK_RULES = 200_000
 BLOCK_BYTES = 16 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Stands between host and path in a key: no host or path begins with it.
+_MARK = "\x00"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -45,11 +50,6 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def reversed_host(host: Column) -> Column:
-    """``a.b.c`` as ``c.b.a.``: subdomains of a host share its key as a prefix."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
-
-
 def host_key(host: str) -> str:
     return ".".join(reversed(host.split("."))) + "."
 
@@ -80,7 +80,7 @@ def _blocks(rules: Iterable[tuple[str, str, str]], block_rules: int, block_bytes
         if verdict is None or host is None:
             continue
         host, path = host.translate(str.maketrans(_UPPER, _LOWER)), path or ""
-        block.append((host_key(host), path, f"{host}{path}", verdict))
+        block.append((f"{host_key(host)}{_MARK}{path}", host, f"{host}{path}", verdict))
         size += 2 * len(host) + 2 * len(path) + 100
         if len(block) >= block_rules or size >= block_bytes:
             yield block
@@ -88,29 +88,39 @@ def _blocks(rules: Iterable[tuple[str, str, str]], block_rules: int, block_bytes
     yield block
 
 
+def suffixes(host: str, labels: int) -> Iterator[str]:
+    """The host and the domains that it is in, of at most so many labels, shortest first."""
+    at = len(host)
+    for _ in range(labels):
+        at = host.rfind(".", 0, at)
+        yield host[at + 1 :]
+        if at < 0:
+            return
+
+
 def _matcher(shipped):
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rules = sorted(shipped.value)
+        # Of rules with one key the smaller string comes last, on top of the stack.
+        rules = sorted(shipped.value, key=lambda r: (r[0], *([-ord(c) for c in x] for x in r[2:])))
+        known = {r[1] for r in rules}
+        labels = max((h.count(".") + 1 for h in known), default=0)
         for pdf in batches:
-            keys = pdf["_key"].to_numpy()
-            paths = pdf["_path"].to_numpy()
-            best = list(pdf["_rule"].to_numpy())
-            verdict = list(pdf["_verdict"].to_numpy())
-            rows_of: dict[str, list[int]] = {}
-            for row, key in enumerate(keys):
-                rows_of.setdefault(key, []).append(row)
-            for key, stack in sweep(sorted(rows_of), rules):
-                if not stack:
-                    continue
-                # Longest rule first; among equals the longer host, then the smaller string.
-                ranked = sorted(stack, key=lambda r: (-len(r[2]), -len(r[0]), r[2], r[3]))
-                for row in rows_of[key]:
-                    for _, path, rule, says in ranked:
-                        if paths[row].startswith(path):
-                            if best[row] is None or len(rule) > len(best[row]):
-                                best[row], verdict[row] = rule, says
-                            break
-            pdf["_rule"] = pd.Series(best, dtype=object, index=pdf.index)
+            rule, verdict = list(pdf["_rule"].to_numpy()), list(pdf["_verdict"].to_numpy())
+            probes: dict[str, list[tuple[int, str]]] = {}
+            for row, (host, path, given) in enumerate(zip(pdf["_host"].to_numpy(), pdf["_path"].to_numpy(), pdf["_given"].to_numpy(), strict=True)):
+                for end in suffixes(host, labels) if given else ():
+                    if end in known:
+                        probes.setdefault(f"{host_key(end)}{_MARK}{path}", []).append((row, end))
+            # The longest rule wins, among equals that of the longer host, which comes last.
+            width = [-1 if r is None else len(r) for r in rule]
+            hosts = [-1] * len(rule)
+            for key, stack in sweep(sorted(probes), rules):
+                if stack:
+                    _, host, text, says = stack[-1]
+                    for row, _ in probes[key]:
+                        if (len(text), len(host)) > (width[row], hosts[row] if width[row] == len(text) else -1):
+                            rule[row], verdict[row], width[row], hosts[row] = text, says, len(text), len(host)
+            pdf["_rule"] = pd.Series(rule, dtype=object, index=pdf.index)
             pdf["_verdict"] = pd.Series(verdict, dtype=object, index=pdf.index)
             yield pdf
 
@@ -140,7 +150,8 @@ def judge_urls(
     out = pages.select(
         F.col(id_col).alias("_id"), host_of(url).alias("_host"), path_of(url).alias("_path"),
         F.lit(None).cast("string").alias("_rule"), F.lit(None).cast("string").alias("_verdict"),
-    ).withColumn("_key", reversed_host(F.col("_host")))
+        F.coalesce(F.contains(url, F.lit("://")), F.lit(False)).alias("_given"),
+    )
     schema = out.schema
     for block in _blocks(rules, block_rules, block_bytes):
         if block:

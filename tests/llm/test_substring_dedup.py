@@ -92,3 +92,12 @@ def test_sql(spark, duck):
 
 def test_empty_table(spark):
     assert s.dedup(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_large_ids_beside_repeated_ones(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    texts = [passage, passage, "other words", "other words", passage, None]
+    for ids in ([5, 1 << 62, 7, 7, -(1 << 63), None], [5, (1 << 63) - 1, 7, 7, None, 9]):
+        rows = [(r["doc_id"], r["n_removed"]) for r in s.dedup(frame(spark, texts, ids)).collect() if r["n_words"] == 30]
+        least = min(i for i, _ in rows if i is not None)
+        assert {i: n for i, n in rows} == {i: 0 if i == least else 30 for i, _ in rows}

@@ -46,3 +46,16 @@ def test_rules_from_a_table_and_empty_tables(spark):
 def test_query_equals_sql(spark, duck):
     for name in ("op5_url_rules", "op6_topk", "op3_quotations"):
         same_rows(QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLE_SQL[name]).df())
+
+
+def test_very_many_rules_of_one_host_and_very_long_urls(spark):
+    import time
+
+    rules = [("block" if i % 2 else "allow", "a.org", f"/p{i}/") for i in range(50_000)] + [("block", "org", "/p7/")]
+    urls = [f"http://x.a.org/p{i * 250}/z" for i in range(200)] + ["http://b.org/p7/", "http://" + "s." * 20_000 + "a.org/p3/" + "y" * 100_000, "http://a.org/" + "/" * 50_000]
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], PAGES)
+    began = time.perf_counter()
+    rows = {r["page_id"]: r["rule"] for r in url_filter.judge_urls(pages.coalesce(1), rules).collect()}
+    assert [rows[i] for i in range(200)] == [f"a.org/p{i * 250}/" for i in range(200)]
+    assert [rows[200 + i] for i in range(3)] == ["org/p7/", "a.org/p3/", None]
+    assert time.perf_counter() - began < 20
