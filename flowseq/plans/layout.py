@@ -35,11 +35,14 @@ def one_split(df: DataFrame) -> bool:
 
 
 class Layout:
-    """Rows in order, either as one sequence or in range partitions with carried summaries."""
+    """Rows in order, either as one sequence or in range partitions with carried summaries.
 
-    def __init__(self, df: DataFrame, order: OrderSpec, keys: tuple[str, ...] = ()):
+    ``spread`` asks for range partitions whatever the size.
+    """
+
+    def __init__(self, df: DataFrame, order: OrderSpec, keys: tuple[str, ...] = (), spread: bool = False):
         self.order, self.keys = order, keys
-        self.single = bool(keys) or one_split(df)
+        self.single = bool(keys) or (not spread and one_split(df))
         # Range bounds are sampled: every use must see the same partitions.
         self.df = df if self.single else settle(df.repartitionByRange(*order.columns()).withColumn(_PART, F.spark_partition_id()))
 
