@@ -97,20 +97,25 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, level IS DISTINCT FROM lag(level) OVER (PARTITION BY conv_id, turn, text ORDER BY i) AS turned FROM q),
         s AS (SELECT *, sum(CAST(turned AS INT)) OVER (PARTITION BY conv_id, turn, text ORDER BY i) AS run FROM r),
         p AS (SELECT conv_id, turn, text, run, level, string_agg(body, chr(10) ORDER BY i) AS raw FROM s WHERE level > 0 GROUP BY ALL),
-        pn AS (SELECT conv_id, turn, level, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g'), ' ') AS words FROM p),
+        parts AS (
+          SELECT conv_id, turn, text, run, level, 0 AS kind, raw AS part FROM p
+          UNION ALL SELECT conv_id, turn, text, run, level, 1, unnest(regexp_split_to_array(raw, '\n[ \t\r]*\n')) FROM p
+          UNION ALL SELECT conv_id, turn, text, run, level, 2, unnest(string_split(raw, chr(10))) FROM p),
+        pn AS (SELECT conv_id, turn, text, run, level, kind, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g'), ' ') AS words FROM parts),
         k AS (
-          SELECT pn.conv_id, pn.turn, pn.level, length(pn.words) AS size, o.original
+          SELECT pn.conv_id, pn.turn, pn.text, pn.run, pn.level, pn.kind, length(pn.words) AS size, o.original
           FROM pn JOIN o ON pn.conv_id = o.conv_id AND pn.words = o.words AND o.original < pn.turn WHERE pn.words <> ''),
+        kp AS (SELECT DISTINCT ON (conv_id, turn, text, run) conv_id, turn, level, kind, size, original FROM k ORDER BY kind, size DESC, original),
         a AS (
-          SELECT conv_id, turn, first(original ORDER BY level, size DESC, original) AS parent, count(*) AS n_linked FROM k GROUP BY ALL),
-        t AS (
-          SELECT conv_id, turn, parent AS thread, CAST(1 AS BIGINT) AS depth FROM a
-          UNION ALL SELECT t.conv_id, t.turn, a.parent, t.depth + 1 FROM t JOIN a ON t.conv_id = a.conv_id AND t.thread = a.turn),
-        d AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM t GROUP BY ALL)
-        SELECT m.conv_id, coalesce(d.thread, m.turn) AS thread, coalesce(d.depth, 0) AS depth, m.turn, a.parent, m.role, own.body, coalesce(a.n_linked, 0) AS n_linked
+          SELECT conv_id, turn, first(original ORDER BY level, kind, size DESC, original) AS parent, count(*) AS n_linked FROM kp GROUP BY conv_id, turn),
+        tree AS (
+          SELECT conv_id, turn, [turn] AS path FROM (SELECT DISTINCT conv_id, turn FROM m) x WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.conv_id = x.conv_id AND a.turn = x.turn)
+          UNION ALL SELECT a.conv_id, a.turn, list_append(tree.path, a.turn) FROM tree JOIN a ON a.conv_id = tree.conv_id AND a.parent = tree.turn),
+        d AS (SELECT conv_id, turn, path[1] AS thread, len(path) - 1 AS depth, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS position FROM tree)
+        SELECT m.conv_id, d.thread, d.depth, m.turn, d.position, a.parent, m.role, own.body, coalesce(a.n_linked, 0) AS n_linked
         FROM m JOIN own ON m.conv_id = own.conv_id AND m.turn = own.turn AND m.text = own.text
+        JOIN d ON m.conv_id = d.conv_id AND m.turn = d.turn
         LEFT JOIN a ON m.conv_id = a.conv_id AND m.turn = a.turn
-        LEFT JOIN d ON m.conv_id = d.conv_id AND m.turn = d.turn
     """,
     "op6_topk": """
         WITH v AS (

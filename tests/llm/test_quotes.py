@@ -16,6 +16,9 @@ ROWS = [
     (2, 2, "user", "", "x"),
     (2, 3, "user", "> > >\n>", "x"),
     (3, 0, "user", "same", "x"), (3, 1, "user", "same", "x"), (3, 2, "user", "> same\nyes", "x"), (3, 2, "user", "> same\nno", "x"),
+    (5, 0, "user", "line one\nline two\nline three\n\nsecond paragraph\nof two lines", "x"), (5, 1, "user", "ask\n\nme", "x"), (5, 2, "user", "> line one\n> line two\nabout two", "x"),
+    (5, 3, "user", "> line one line two line three\n>\n> second  paragraph OF two lines\nabout all", "x"), (5, 4, "user", "> about two\n> ask\nlate", "x"), (5, 5, "user", "> about two\nsame again", "x"),
+    (5, 6, "user", "> line three\n> never\nmore", "x"), (5, 7, "user", ">> ask\n> about all\ndeep", "x"),
     (None, 0, "user", "> same\nlost", "x"), (4, None, "user", "> same\nlost", "x"),
 ]
 DDL = "conv_id long, turn long, role string, text string, hash string"
@@ -52,3 +55,24 @@ def test_long_chain_and_hot_message(spark):
 
 def test_empty_table(spark):
     assert quotes.link(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_parts_of_passages_and_reply_order(spark):
+    linked = quotes.link(spark.createDataFrame(ROWS, DDL))
+    rows = {r["turn"]: r for r in linked.where("conv_id = 5").collect()}
+    assert [rows[t]["parent"] for t in range(8)] == [None, None, 0, 0, 2, 2, 0, 3]
+    assert sorted(rows, key=lambda t: rows[t]["position"]) == [0, 2, 4, 5, 3, 7, 6, 1]
+    whole = {r["conv_id"]: r["messages"] for r in quotes.conversations(linked).collect()}
+    assert [m["body"] for m in whole[5]][1:5] == ["about two", "late", "same again", "about all"]
+    assert [m["turn"] for m in whole[1]] == [0, 1, 2, 4, 3, 5]
+
+
+def test_positions_of_a_long_chain_beside_branches(spark):
+    chain = [(1, 0, "u", "m0", "x")] + [(1, t, "u", f"> m{t - 1 if t % 5 else t // 10}\nm{t}", "x") for t in range(1, 60)]
+    rows = quotes.link(spark.createDataFrame(chain, DDL)).collect()
+    path = {0: (0,)}
+    for t in range(1, 60):
+        path[t] = (*path[t - 1 if t % 5 else t // 10], t)
+    want = sorted(path, key=path.get)
+    assert [r["turn"] for r in sorted(rows, key=lambda r: r["position"])] == want
+    assert {r["turn"]: r["depth"] for r in rows} == {t: len(p) - 1 for t, p in path.items()}
