@@ -4,11 +4,11 @@ Every candidate span of a text (strict pattern matches, near misses of the
 patterns, obfuscated forms) is put to five labelers that vote yes, no or
 abstain: the strict pattern, the shape of the span, a gazetteer (top-level
 domains, card issuers, area codes), cue words in front of the span, and what the
-span is embedded in.  The votes over *all* documents are counted by pattern (at
-most some thousands exist, so the counts are small however large the corpus is).
+span is embedded in.  Votes and features over *all* documents are counted (of both
+a bounded number exists, so the counts are small however large the corpus is).
 Expectation-maximisation, kind by kind, estimates how reliable each labeler is
 and how likely each vote pattern is real; a logistic span classifier is then
-trained on those soft labels with vote and shape features.  A candidate that the
+trained on those soft labels, with features of the span and its context.  A candidate that the
 classifier accepts and that overlaps no other span is added to the strict ones,
 which always stay.
 
@@ -23,6 +23,7 @@ an empty result; only the id and text columns are read.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -34,10 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from flowseq.llm.toxicity import minimise
+
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 #: A candidate is added from this probability on.
 ACCEPT = 0.5
+#: Penalty on the classifier's squared weights.
+RIDGE = 0.5
 
 # Strict patterns.  Possessive repeats and the look-behind of the address pattern
 # leave what matches unchanged and make the scan linear.
@@ -163,23 +168,46 @@ def votes(text: str, start: int, kind: int, end: int, strict: int) -> tuple[int,
     return strict, _shape(kind, span, digits), _gazetteer(kind, span, digits), cue, _embedding(text, start, end)
 
 
-def _code(kind: int, votes_: tuple[int, ...], span: str) -> int:
-    """Kind, votes and shape (number of digits, separators) as one integer."""
+#: Number of forms of a span, and of words in front of one, that the classifier tells apart.
+FORMS, CONTEXTS = 32, 64
+_RUNS = ((re.compile(r"[0-9]+"), "9"), (re.compile(r"[A-Za-z]+"), "a"), (re.compile(r"\s+"), " "))
+_LAST_WORD = re.compile(r"([^\W\d_]+)[\W\d_]*$")
+
+
+def _form(span: str) -> int:
+    """The span with runs of digits, letters and blanks as one character each, hashed."""
+    for run, mark in _RUNS:
+        span = run.sub(mark, span)
+    return zlib.crc32(span[:40].encode()) % FORMS
+
+
+def _context(text: str, start: int) -> int:
+    """The last word near in front of the span, hashed; 0 if there is none."""
+    word = _LAST_WORD.search(text[max(0, start - _CUE_REACH) : start])
+    return 1 + zlib.crc32(word[1].lower().encode()) % (CONTEXTS - 1) if word else 0
+
+
+def _code(kind: int, votes_: tuple[int, ...], text: str, start: int, end: int) -> int:
+    """Kind, votes, and what the classifier sees of the span and its context, as one integer."""
+    span = text[start:end]
     n = sum("0" <= c <= "9" for c in span)
     shape = 2 * (0 if n < 7 else 1 if n < 10 else 2 if n < 13 else 3) + any(c in span for c in " -([")
     out = kind
     for v in votes_:
         out = out * 3 + v + 1
-    return out * 8 + shape
+    return ((out * 8 + shape) * FORMS + _form(span)) * CONTEXTS + _context(text, start)
 
 
-def _decode(code: int) -> tuple[int, list[int], int]:
+def _decode(code: int) -> tuple[int, list[int], int, int, int]:
+    """Kind, votes (0 no, 1 abstain, 2 yes), shape, form and context."""
+    code, context = divmod(code, CONTEXTS)
+    code, form = divmod(code, FORMS)
     code, shape = divmod(code, 8)
     vs = []
     for _ in range(5):
         code, v = divmod(code, 3)
         vs.append(v)
-    return code, vs[::-1], shape
+    return code, vs[::-1], shape, form, context
 
 
 def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
@@ -188,7 +216,7 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     tagged = [(x, 1) for x in good] + [(x, -1) for x in failed]
     known = set(good) | set(failed)
     tagged += [(x, 0) for x in loose_spans(text) if x not in known]
-    return good, [(s, k, e, _code(k, votes(text, s, k, e, strict), text[s:e])) for (s, k, e), strict in tagged]
+    return good, [(s, k, e, _code(k, votes(text, s, k, e, strict), text, s, e)) for (s, k, e), strict in tagged]
 
 
 # --- expectation-maximisation and the span classifier -------------------------------------
@@ -225,27 +253,42 @@ def expectation_maximisation(vote_rows: np.ndarray, counts: np.ndarray, rounds:
 
 
 def train(pattern_counts: dict[int, int]) -> SpanModel:
-    """Reliabilities by kind, then one logistic classifier over votes, kind and shape."""
+    """Reliabilities by kind from the votes, then one logistic classifier of spans.
+
+    The estimate gives each vote row a soft label, and every candidate counts once.  The
+    classifier sees each vote, but no combination of them, and besides what no labeler
+    tells: the digits, the form of the span and the word in front of it, by kind.  So two
+    spans with equal votes may be judged differently.
+    """
     if not pattern_counts:
         return SpanModel({}, {})
     codes = sorted(pattern_counts)
     counts = np.array([pattern_counts[c] for c in codes], float)
-    kinds, vs, shapes = (np.array(x) for x in zip(*map(_decode, codes), strict=True))
+    kinds, vs, shapes, forms, contexts = (np.array(x) for x in zip(*map(_decode, codes), strict=True))
     soft, reliability = np.zeros(len(codes)), {}
     for k in set(kinds.tolist()):
-        at = kinds == k
-        soft[at], theta = expectation_maximisation(vs[at], counts[at])
+        at = np.flatnonzero(kinds == k)
+        rows, which = np.unique(vs[at], axis=0, return_inverse=True)
+        post, theta = expectation_maximisation(rows, np.bincount(which.ravel(), counts[at], len(rows)))
+        soft[at] = post[which.ravel()]
         reliability[KINDS[k]] = [[float(theta[y, j, 2 * y]) for y in (0, 1)] for j in range(vs.shape[1])]
-    x = np.concatenate([np.eye(4)[kinds], np.eye(3)[vs].reshape(len(codes), -1), np.eye(8)[shapes]], 1)
-    x = np.concatenate([x, *(x[:, k : k + 1] * np.eye(3)[vs].reshape(len(codes), -1) for k in range(4))], 1)
-    # The logarithm keeps rare patterns visible beside the very frequent ones.
-    weight = np.log1p(counts)
-    weight /= weight.sum()
-    w = np.zeros(x.shape[1])
-    for _ in range(2000):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= 4.0 * (x.T @ (weight * (p - soft)) + 1e-4 * w)
-    p = 1 / (1 + np.exp(-x @ w))
+    # Features by number: votes, shape, form and context, each for itself by kind.
+    sizes = [3] * vs.shape[1] + [8, FORMS, CONTEXTS]
+    values = [*vs.T, shapes, forms, contexts]
+    first = np.cumsum([1, *(4 * n for n in sizes)])
+    features = np.stack([np.zeros(len(codes), int), *(at + kinds * n + v for at, n, v in zip(first, sizes, values, strict=False))], 1)
+
+    def logits(w: np.ndarray) -> np.ndarray:
+        return w[features].sum(1)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = logits(w)
+        gap = counts * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - soft)
+        grad = np.bincount(features.ravel(), np.repeat(gap, features.shape[1]), int(first[-1]))
+        return float((counts * (np.logaddexp(0, z) - soft * z)).sum() + 0.5 * RIDGE * (w @ w)), grad + RIDGE * w
+
+    w = minimise(np.zeros(int(first[-1])), loss, lambda w: loss(w)[0], steps=300)
+    p = 1 / (1 + np.exp(-np.clip(logits(w), -500, 500)))
     return SpanModel(dict(zip(codes, p.tolist(), strict=True)), reliability)
 
 

@@ -143,7 +143,7 @@ def _direction(grad: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, float
     return -q
 
 
-def _minimise(params: np.ndarray, loss, held_in, *, steps: int = 200, memory: int = 7) -> np.ndarray:
+def minimise(params: np.ndarray, loss, held_in, *, steps: int = 200, memory: int = 7) -> np.ndarray:
     """The parameters with the least held-in loss on the way to the minimum."""
     value, grad = loss(params)
     pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
@@ -215,7 +215,7 @@ def fit_machine(sets: list[np.ndarray], y: np.ndarray, *, seed: int = 17) -> Fac
 
     rate = (y.sum() + 0.5) / (len(y) + 1)
     start = np.concatenate([[np.log(rate / (1 - rate))], np.zeros(m), rng.normal(0, 0.05, m * FACTORS)])
-    w0, w, v = _unpacked(unit * _minimise(start, loss, lambda u: held_in(unit * u)), m)
+    w0, w, v = _unpacked(unit * minimise(start, loss, lambda u: held_in(unit * u)), m)
     return FactorizationMachine(w0, buckets, w.copy(), v.copy())
 
 
