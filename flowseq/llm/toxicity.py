@@ -35,7 +35,7 @@ from pyspark.sql.functions import arrow_udf
 from flowseq.llm.common import free_names
 
 BUCKETS = 1 << 20
-MAX_ROWS = 12_000
+MAX_ROWS = 8_000
 FACTORS = 6
 FOLDS = 5
 #: Penalties on squared weights and factors, and steps without a better held-in loss after which fitting ends.
@@ -83,26 +83,26 @@ class _Rows:
     def __init__(self, sets: list[np.ndarray], m: int):
         sizes = np.array([len(s) for s in sets], np.int64)
         self.n, self.m = len(sets), m
-        self.flat = np.concatenate([np.zeros(0, np.int64), *sets])
+        self.flat = np.concatenate([np.zeros(0, np.int32), *sets]).astype(np.int32)
         self.some = np.flatnonzero(sizes)
         self.start = (np.cumsum(sizes) - sizes)[self.some]
         order = np.argsort(self.flat, kind="stable")
-        self.row = np.repeat(np.arange(self.n), sizes)[order]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order]
         used, first = np.unique(self.flat[order], return_index=True)
         self.used, self.first = used, first
 
     def times(self, w: np.ndarray) -> np.ndarray:
         """The sum of ``w`` over each row's features."""
-        out = np.zeros((self.n, *w.shape[1:]))
+        out = np.zeros(self.n, w.dtype)
         if len(self.some):
-            out[self.some] = np.add.reduceat(w[self.flat], self.start, axis=0)
+            out[self.some] = np.add.reduceat(w[self.flat], self.start)
         return out
 
     def transposed(self, r: np.ndarray) -> np.ndarray:
         """The sum of ``r`` over each feature's rows."""
-        out = np.zeros((self.m, *r.shape[1:]))
+        out = np.zeros(self.m, r.dtype)
         if len(self.used):
-            out[self.used] = np.add.reduceat(r[self.row], self.first, axis=0)
+            out[self.used] = np.add.reduceat(r[self.row], self.first)
         return out
 
 
@@ -122,11 +122,14 @@ def _loss(params: np.ndarray, rows: _Rows, y: np.ndarray) -> tuple[float, np.nda
     """Log loss and its gradient."""
     z, s = _logits(params, rows)
     _, _, v = _unpacked(params, rows.m)
-    value = float(np.logaddexp(0, z).sum() - (y * z).sum())
-    g = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-    gx = rows.transposed(g)
-    gv = np.stack([rows.transposed(g * s[:, f]) for f in range(FACTORS)], 1) - v * gx[:, None]
-    return value, np.concatenate([[g.sum()], gx, gv.ravel()])
+    value = float(np.logaddexp(0, z.astype(float)).sum() - (y * z).sum())
+    g = (1 / (1 + np.exp(-np.clip(z, -80, 80))) - y).astype(params.dtype)
+    grad = np.empty_like(params)
+    _, gx, gv = _unpacked(grad, rows.m)
+    grad[0], gx[:] = g.sum(), rows.transposed(g)
+    for f in range(FACTORS):
+        gv[:, f] = rows.transposed(g * s[:, f]) - v[:, f] * gx
+    return value, grad
 
 
 def _direction(grad: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
@@ -143,7 +146,7 @@ def _direction(grad: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, float
     return -q
 
 
-def minimise(params: np.ndarray, loss, held_in, *, steps: int = 200, memory: int = 7) -> np.ndarray:
+def minimise(params: np.ndarray, loss, held_in, *, steps: int = 200, memory: int = 5) -> np.ndarray:
     """The parameters with the least held-in loss on the way to the minimum."""
     value, grad = loss(params)
     pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
@@ -162,7 +165,7 @@ def minimise(params: np.ndarray, loss, held_in, *, steps: int = 200, memory: int
             t /= 2
         change = its - grad
         if (curve := change @ (new - params)) > 1e-10:
-            pairs = [*pairs[-memory + 1 :], (new - params, change, 1 / curve)]
+            pairs = [*pairs[1 - memory :], (new - params, change, 1 / curve)]
         small = value - grown < 1e-6 * max(1.0, abs(value))
         params, value, grad = new, grown, its
         if (now := held_in(params)) < least:
@@ -180,7 +183,7 @@ def evidence(sets: list[np.ndarray], y: np.ndarray, m: int) -> np.ndarray:
     No feature is left out; one without any evidence has the scale ``LEAST_SCALE``.
     """
     n, p = len(y), y.sum()
-    flat = np.concatenate([np.zeros(0, np.int64), *sets])
+    flat = np.concatenate([np.zeros(0, np.int32), *sets])
     seen = np.bincount(flat, minlength=m)
     toxic = np.bincount(flat, np.repeat(y, [len(s) for s in sets]), minlength=m)
     cells = ((toxic, seen * p / n), (seen - toxic, seen * (n - p) / n), (p - toxic, (n - seen) * p / n), (n - p - seen + toxic, (n - seen) * (n - p) / n))
@@ -193,29 +196,32 @@ def fit_machine(sets: list[np.ndarray], y: np.ndarray, *, seed: int = 17) -> Fac
     """The machine for rows that are sets of ascending buckets."""
     if not len(y):
         return FactorizationMachine(-np.inf)
-    buckets = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]))
-    known = [np.searchsorted(buckets, s) for s in sets]
+    buckets = np.unique(np.concatenate([np.zeros(0, np.int32), *sets])).astype(np.int64)
+    known = [np.searchsorted(buckets, s).astype(np.int32) for s in sets]
     m, rng = len(buckets), np.random.default_rng(seed)
     tenth = rng.permutation(len(y))[: len(y) // 10]
     inner = np.setdiff1d(np.arange(len(y)), tenth)
     rows, checks = _Rows([known[i] for i in inner], m), _Rows([known[i] for i in tenth], m)
 
-    def held_in(params: np.ndarray) -> float:
-        z = _logits(params, checks)[0]
-        return float(np.logaddexp(0, z).sum() - (y[tenth] * z).sum())
-
     # Parameters in units of their scale: penalties and steps are alike for all.
     scale = evidence([known[i] for i in inner], y[inner], m)
-    unit = np.concatenate([[1.0], scale, np.repeat(scale, FACTORS)])
+    unit = np.concatenate([[1.0], scale, np.repeat(scale, FACTORS)]).astype(np.float32)
+
+    def held_in(u: np.ndarray) -> float:
+        z = _logits(unit * u, checks)[0].astype(float)
+        return float(np.logaddexp(0, z).sum() - (y[tenth] * z).sum())
 
     def loss(u: np.ndarray) -> tuple[float, np.ndarray]:
         value, grad = _loss(unit * u, rows, y[inner])
-        penalty = np.concatenate([[0.0], np.full(m, RIDGE), np.full(m * FACTORS, FACTOR_RIDGE)])
-        return value + float((penalty * u * u).sum() / 2), unit * grad + penalty * u
+        grad *= unit
+        for part, penalty in ((slice(1, m + 1), RIDGE), (slice(m + 1, None), FACTOR_RIDGE)):
+            value += penalty / 2 * float(u[part] @ u[part])
+            grad[part] += penalty * u[part]
+        return value, grad
 
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    start = np.concatenate([[np.log(rate / (1 - rate))], np.zeros(m), rng.normal(0, 0.05, m * FACTORS)])
-    w0, w, v = _unpacked(unit * minimise(start, loss, lambda u: held_in(unit * u)), m)
+    start = np.concatenate([[np.log(rate / (1 - rate))], np.zeros(m), rng.normal(0, 0.05, m * FACTORS)]).astype(np.float32)
+    w0, w, v = _unpacked(unit * minimise(start, loss, held_in), m)
     return FactorizationMachine(w0, buckets, w.copy(), v.copy())
 
 
@@ -254,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = hashed.groupBy("doc_id").agg(F.min(F.struct("h", "f", "y")).alias("r")).select("doc_id", "r.y", "r.f").orderBy("doc_id").toArrow()
     lists = rows.column("f").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
+    starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     y = rows.column("y").to_numpy()
     return fit_machine([flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)], (y > 0).astype(float))
 
