@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 
 from flowseq.plans.scratch import drop_settled, scratch_dir, settle
 
-__all__ = ["drop_settled", "free_names", "scratch_dir", "settle", "table", "text_bytes"]
+__all__ = ["bounded_batches", "drop_settled", "free_names", "scratch_dir", "settle", "table", "text_bytes"]
+
+
+#: Rows of an Arrow batch: texts are long, so Spark's own number of rows would be much memory on both sides.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, for Python workers: batches hold ``BATCH_ROWS`` rows, unless the application's configuration says how many."""
+    spark = df.sparkSession
+    if spark.sparkContext.getConf().get(_BATCH_SETTING) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from flowseq.llm.common import settle
+from flowseq.llm.common import bounded_batches, settle
 
 Q = 7
 PATTERN = 192
@@ -425,7 +425,7 @@ def leaks(
     the fewest edits and the most shared q-grams of any of them.  Excerpts count
     where no whole pattern matches.
     """
-    slim = docs.select(F.col(id_col).cast("long"), F.col(text_col))
+    slim = bounded_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col))
     schema = "doc_id long, item_id long, start long, end long, edits long, shared_qgrams long"
     found, pending = None, None
     for block in _blocks(benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")), "i", "t", block_bytes):
@@ -438,7 +438,7 @@ def leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that contain a benchmark item, in the same map-side way."""
-    out = docs
+    out = bounded_batches(docs)
     for block in _blocks(benchmark.select("item_id", "text"), "item_id", "text", BLOCK_BYTES):
         if block:
             out = out.where(~_leaking(docs.sparkSession.sparkContext.broadcast(block))(F.col(text_col)))

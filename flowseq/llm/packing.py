@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowseq.llm.common import settle
+from flowseq.llm.common import bounded_batches, settle
 
 SEQUENCE = 4096
 GRAIN = 16
@@ -138,7 +138,7 @@ def _pieces(path: str, sequence: int):
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: full sequences and the rest of each document."""
-    slim = docs.select(F.col(id_col).cast("long"), F.col(text_col))
+    slim = bounded_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col))
     return slim.mapInArrow(_pieces(tokenizer_path, sequence), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 

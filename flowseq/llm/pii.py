@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from flowseq.llm.common import bounded_batches
 from flowseq.llm.toxicity import minimise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -303,7 +304,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> SpanModel:
                     seen.update(c[3] for c in candidates(text)[1])
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    rows = bounded_batches(docs).select(F.col(text_col).alias("t")).mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     return train({r["pattern"]: r["n"] for r in rows})
 
 
@@ -356,7 +357,7 @@ def spans_of(text: Column, model: SpanModel, spark) -> Column:
 
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: SpanModel | None = None) -> DataFrame:
     """``doc_id, base, spans`` of every row."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = model or fit(slim)
     found = slim.select("doc_id", spans_of(F.col("text"), model, docs.sparkSession).alias("f"))
     return found.select("doc_id", F.col("f.base").alias("base"), F.col("f.spans").alias("spans"))
@@ -364,7 +365,7 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
 def redact(docs: DataFrame, *, text_col: str = "text", model: SpanModel | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; null texts stay null."""
-    model = model or fit(docs, text_col)
+    model = model or fit(bounded_batches(docs), text_col)
     shipped = docs.sparkSession.sparkContext.broadcast(model.probability)
 
     @arrow_udf("string")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from flowseq.llm.common import free_names, settle
+from flowseq.llm.common import bounded_batches, free_names, settle
 from flowseq.llm.components import connected_components
 
 SHINGLE = 4
@@ -204,7 +204,7 @@ def links(fingerprints: DataFrame) -> DataFrame:
 
 def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, root, component_id`` of every row; ``root`` is one fingerprint of the component."""
-    printed = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")))
+    printed = settle(bounded_batches(docs).select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")))
     first = settle(printed.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(links(first))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowseq.llm.common import settle, text_bytes
+from flowseq.llm.common import bounded_batches, settle, text_bytes
 from flowseq.order import OrderSpec
 from flowseq.plans.layout import Layout
 
@@ -388,7 +388,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: each document's words that stay, joined by single spaces."""
-    whole, shift = _identified(docs, id_col, text_col)
+    whole, shift = _identified(bounded_batches(docs), id_col, text_col)
     groups = max(256, text_bytes(docs, text_col) // 30 // GROUP_ANCHORS)
     runs = repeated_runs(whole, shift, groups=groups)
     joined = whole.join(runs, "uid", "left").select("doc_id", "text", "runs")

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from flowseq.llm.common import bounded_batches
+
 #: Rows in the hash sample that the frequent table is taken from (expected number).
 SAMPLE_DOCS = 2_000
 #: Entries of the frequent table, and of each worker's cache.
@@ -109,7 +111,7 @@ def _counter(path: str, frequent: dict[str, int]):
 
 def frequent_table(docs: DataFrame, text_col: str, id_col: str, model_path: str, sample_docs: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> dict[str, int]:
     """Token counts of the pre-tokens that are frequent in a hash sample of all rows."""
-    rows = docs.count()
+    rows = bounded_batches(docs).count()
     every = max(1, rows // sample_docs)
     limit = entries // _SAMPLE_TASKS
 

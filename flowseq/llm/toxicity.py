@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from flowseq.llm.common import free_names
+from flowseq.llm.common import bounded_batches, free_names
 
 BUCKETS = 1 << 20
 MAX_ROWS = 8_000
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     )
     # A bounded number of rows, so they may be broadcast, and the documents need not move.
     taught = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     hashed = slim.join(taught, "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), arrow_udf(_hash_terms, "array<int>")(F.col("text")).alias("f"))
     rows = hashed.groupBy("doc_id").agg(F.min(F.struct("h", "f", "y")).alias("r")).select("doc_id", "r.y", "r.f").orderBy("doc_id").toArrow()
     lists = rows.column("f").combine_chunks()
@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def with_score(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with the machine's probability for every whole text."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
