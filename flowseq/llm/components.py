@@ -4,22 +4,72 @@ Both steps (Kiveris et al., "Connected Components in MapReduce and Beyond") only
 use equi-joins on a node and minima by node, which are combined map-side.  A node
 with very many neighbours would be a hot key of the join; there are at most so many
 of those as edges allow, so they are joined by a broadcast of bounded size instead.
-Every round is written to the shared folder, which keeps the plans short and
+
+Before each round every task replaces the edges that it holds, a bounded number at a
+time, by the stars of their components.  A long chain then costs no rounds, and few
+enough edges for one task are done without any.  Every round is written to the shared folder, which keeps the plans short and
 survives lost executors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowseq.llm.common import drop_settled, settle
 
-
+#: Edges that a task contracts at once.
+EDGES_AT_ONCE = 1 << 20
 #: A node is hot with more edges than this, and than this share of all edges.
 HOT_EDGES, HOT_SHARE = 256, 1000
 
 
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge the classes of ``a[i]`` and ``b[i]`` in ``label``, in place; labels are class minima."""
+    while True:
+        la, lb = label[a], label[b]
+        lo, hi = np.minimum(la, lb), np.maximum(la, lb)
+        differ = lo < hi
+        if not differ.any():
+            return
+        np.minimum.at(label, hi[differ], lo[differ])
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label[:] = jumped
+
+
+def _contract(at_once: int):
+    """Edges ``u, v`` as edges from each node to the smallest of its component, by ``at_once`` edges."""
+
+    def stars(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        u, v = (np.concatenate(c) for c in zip(*held, strict=True))
+        nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = np.arange(len(nodes))
+        unite(label, ends[: len(u)], ends[len(u) :])
+        own = label != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            if n and n + len(batch) > at_once:
+                yield stars(held)
+                held, n = [], 0
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            n += len(batch)
+        if held:
+            yield stars(held)
+
+    return run
+
+
 def _with_lowest(edges: DataFrame, lowest: DataFrame, n: int) -> DataFrame:
     """``edges`` with ``m`` of their ``u``.  At most 2 n / (n / HOT_SHARE) nodes are hot."""
     if n <= HOT_EDGES:
@@ -38,7 +88,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, *, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """``node, root`` for every node of ``edges(u, v)`` but the roots, the root being a component's smallest node.
 
     Loops and repeated edges do no harm; null ends link nothing.
@@ -49,6 +99,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     state = _state(edges)
     while state[0]:
+        parts = -(-state[0] // at_once)
+        old, edges = edges, settle(edges.coalesce(parts).mapInArrow(_contract(at_once), "u long, v long"))
+        drop_settled(old)
+        if parts == 1:
+            break
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         first = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
         # Only neighbours above a node move, so the others need not meet its minimum.

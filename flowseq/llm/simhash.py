@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from flowseq.llm.common import bounded_batches, free_names, settle
-from flowseq.llm.components import connected_components
+from flowseq.llm.components import connected_components, unite
 
 SHINGLE = 4
 SEED = 42
@@ -144,22 +144,6 @@ def _deal(groups: int):
     return deal
 
 
-def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the classes of ``a[i]`` and ``b[i]`` in ``label``, in place; labels are class minima."""
-    while True:
-        la, lb = label[a], label[b]
-        lo, hi = np.minimum(la, lb), np.maximum(la, lb)
-        differ = lo < hi
-        if not differ.any():
-            return
-        np.minimum.at(label, hi[differ], lo[differ])
-        while True:
-            jumped = label[label]
-            if (jumped == label).all():
-                break
-            label[:] = jumped
-
-
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the links at the anchors of one group."""
     anchor = pdf["anchor"].to_numpy().view(np.uint64)

@@ -84,8 +84,9 @@ def test_repeated_and_missing_ids(spark):
     assert simhash.keep_one(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [16, 1 << 20])
 @pytest.mark.parametrize("n", [0, 1, 60])
-def test_connected_components(spark, n):
+def test_connected_components(spark, n, at_once):
     edges = [(i, i + 1) for i in range(n)] + [(1000 + i, 1000) for i in range(n)] + [(5000, 5000), (1003, 1000), (None, 4)]
-    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long"), at_once=at_once).collect()}
     assert got == {i: 0 for i in range(1, n + 1)} | {1000 + i: 1000 for i in range(1, n)} | {1003: 1000}
