@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowseq.plans.scratch import drop_settled, scratch_dir, settle
 
-__all__ = ["bounded_batches", "drop_settled", "free_names", "scratch_dir", "settle", "table", "text_bytes"]
+__all__ = ["bounded_batches", "drop_settled", "free_names", "scratch_dir", "settle", "table", "text_bytes", "worker_cache"]
 
 
 #: Rows of an Arrow batch: texts are long, so Spark's own number of rows would be much memory on both sides.
@@ -23,6 +23,17 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_kept: tuple[str, dict] = ("", {})
+
+
+def worker_cache(owner: str) -> dict:
+    """What ``owner`` keeps from task to task of a Python worker, until another asks: Spark uses workers again, and their memory is for one."""
+    global _kept
+    if owner != _kept[0]:
+        _kept = (owner, {})
+    return _kept[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by a path that only Spark needs to understand."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowseq.llm.common import bounded_batches, settle
+from flowseq.llm.common import bounded_batches, settle, worker_cache
 
 SEQUENCE = 4096
 GRAIN = 16
@@ -46,8 +46,6 @@ SALT_PIECES = 50_000
 CACHE_ENTRIES = 500_000
 MAX_CACHED = 48
 
-_models: dict[str, object] = {}
-_caches: dict[str, dict[bytes, bytes]] = {}
 #: Latin letters, then ASCII punctuation but the apostrophe, which may begin a contraction.
 _WORD = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -77,9 +75,10 @@ def _encoder(path: str):
     """
     from tokenizers import Tokenizer
 
-    if path not in _models:
-        _models[path] = Tokenizer.from_file(path)
-    tok, cache = _models[path], _caches.setdefault(path, {})
+    kept = worker_cache(__name__)
+    if path not in kept:
+        kept[path] = Tokenizer.from_file(path), {}
+    tok, cache = kept[path]
     merge, alphabet = tok.model.tokenize, _byte_alphabet()
 
     def direct(raw: bytes) -> bytes:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from flowseq.llm.common import bounded_batches, free_names
+from flowseq.llm.common import bounded_batches, free_names, worker_cache
 
 BUCKETS = 1 << 20
 MAX_ROWS = 8_000
@@ -231,7 +231,7 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def _hash_terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    known: dict[bytes, int] = {}
+    known = worker_cache(__name__)
     for batch in batches:
         yield pa.array([_hashed(text.as_py() or "", known) for text in batch], pa.list_(pa.int32()))
 
@@ -272,7 +272,7 @@ def with_score(docs: DataFrame, model: FactorizationMachine, *, text_col: str =
     @arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fm = shipped.value
-        known: dict[bytes, int] = {}
+        known = worker_cache(__name__)
         for batch in batches:
             z = np.array([fm.logit(_hashed(text.as_py() or "", known)) for text in batch])
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) * (z > -np.inf), pa.float64())
