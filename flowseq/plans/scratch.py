@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Where intermediate tables go when a local session names no shared folder (tests).
 DEFAULT_SCRATCH = "file:///tmp/checkpoints"
 
+#: Spark's switch for removing a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _scratch: dict[int, str] = {}
 
 
@@ -41,11 +44,18 @@ def settle(df: DataFrame) -> DataFrame:
 
     This cuts the lineage: a lost executor costs no recomputation of what is
     above, and non-repeatable layouts (partition ids, sampling) are frozen.
+    What was shuffled for it is removed from the executors' disks.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_settled(df: DataFrame) -> None:
