@@ -7,9 +7,14 @@ from typing import Any
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowseq.flow import recorded
 
+#: Keys for which rows are left out before a sort, and elements of each that this is tried for.
+BOUNDED_KEYS, BOUNDED_ROWS = 1 << 14, 100
+_FIXED_WIDTH = (T.IntegralType, T.FractionalType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 class Limits:
     def _edge(self, last: bool) -> Column:
@@ -42,9 +47,34 @@ class Limits:
             return self.like(self.frame.where(F.lit(False)))
         if self.keys:
             (rank,) = self.fresh("r")
-            return self.like(self.frame.withColumn(rank, F.row_number().over(self._per_key())).where(F.col(rank) <= n).drop(rank))
+            return self.like(self._near_start(n).withColumn(rank, F.row_number().over(self._per_key())).where(F.col(rank) <= n).drop(rank))
         return self.like(self.frame.orderBy(*order.columns()).limit(n))
 
+    def _near_start(self, n: int):
+        """Without rows that n of their key surely precede, so that no task sorts all it reads.
+
+        A key's rows are dealt into shares; n shares whose first rows reach up to a bound
+        hold n rows up to it.  Bounds need a hash aggregation, of the first order column
+        only, and rows as high as the bound stay.  Keys without a bound lose nothing.
+        """
+        (name, up), df = self.order.keys[0], self.frame
+        kind = df.schema[name].dataType
+        wide = isinstance(kind, T.DecimalType) and kind.precision > 18
+        # A key that is drawn anew in each run has no bound.
+        if n > BOUNDED_ROWS or wide or not isinstance(kind, _FIXED_WIDTH) or not df._jdf.queryExecution().analyzed().deterministic():
+            return df
+        share, end, bound, *theirs = self.fresh("share", "end", "bound", *["k"] * len(self.keys))
+        dealt = df.select(*self.keys, name, F.pmod(F.xxhash64(*self.order.names), F.lit(8 * n)).alias(share))
+        ends = dealt.groupBy(*self.keys, share).agg((F.min if up else F.max)(name).alias(end)).where(F.col(end).isNotNull())
+        nth = F.get(F.sort_array(F.array_agg(end), asc=up), F.lit(n - 1)).alias(bound)
+        bounds = ends.groupBy(*[F.col(k).alias(t) for k, t in zip(self.keys, theirs, strict=True)]).agg(nth).where(F.col(bound).isNotNull()).limit(BOUNDED_KEYS)
+        same = F.lit(True)
+        for k, t in zip(self.keys, theirs, strict=True):
+            same = same & F.col(k).eqNullSafe(F.col(t))
+        value = F.col(name)
+        near = (value.isNull() | (value <= F.col(bound))) if up else value >= F.col(bound)
+        return df.join(F.broadcast(bounds), same, "left").where(F.col(bound).isNull() | near).drop(bound, *theirs)
+
     @recorded
     def init(self):
         """L3: all but the last element."""

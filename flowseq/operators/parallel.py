@@ -83,20 +83,12 @@ class _KeyBy:
     def key_by(self, key: Callable[[Any], Column], name: str = "key"):
         """Equal keys meet in one of n tasks.
 
-        Results are combined before they are dealt; the elements themselves only move
-        where a sub-pipeline returns elements.
+        Results, whether values or elements, are dealt once the sub-pipeline has given
+        them: what it leaves out never moves, and no task has to hold what n of them read.
         """
         from flowseq.flow import Result
 
-        combined = []
-
-        def noted(flow):
-            out = self._fn(flow)
-            combined.append(out is None or isinstance(out, Result))
-            return out
-
-        out = Partition(self._flow, noted).by(key, name)
-        if combined[-1]:
-            return out.like(out.frame.repartition(self._n, name))
-        dealt = self._flow.like(self._flow.frame.repartition(self._n, key(self._flow.element)))
-        return Partition(dealt, self._fn).by(key, name)
+        given = []
+        out = Partition(self._flow, lambda flow: given.append(self._fn(flow)) or given[-1]).by(key, name)
+        dealt_by = name if given[-1] is None or isinstance(given[-1], Result) else given[-1].keys[-1]
+        return out.like(out.frame.repartition(self._n, dealt_by))

@@ -131,3 +131,33 @@ def test_streaming(spark, tmp_path):  # S13, W1
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.sql("SELECT k, n, s FROM w").collect())) == [(0, 2, 3), (1, 1, 3)]
     assert Concat(source, source).stream().isStreaming
+
+
+def test_elements_of_a_key_are_found_before_any_are_dealt(spark):  # X6
+    seen = []
+    f = fs.range_(spark, 1000).parallel_partition(3, lambda g: seen.append(g) or g.take_first(2)).key_by(lambda v: v % 7)
+    assert sorted(f.to()) == list(range(14)) and len(seen) == 1
+    plan = f.to_df()._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("REPARTITION_BY_NUM") < plan.index("WindowGroupLimit")
+    odd = fs.range_(spark, 20).parallel_partition(3, lambda g: g.filter(lambda v: v % 2 == 1)).key_by(lambda v: v % 3)
+    assert sorted(odd.to()) == list(range(1, 20, 2)) and odd.frame.rdd.getNumPartitions() == 3
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_first_of_a_key_leaves_rows_out_before_it_sorts(spark, up):  # L2: nulls, ties, NaN, few rows, a null key
+    rng = __import__("random").Random(4)
+    values = [None, float("nan"), *(float(v) for v in range(12))]
+    rows = [(rng.choice([None, 0, 1, 2, 3]), rng.choice(values), i) for i in range(400)] + [(9, 1.0, 400), (8, None, 401)]
+    f = fs.from_df(spark.createDataFrame(rows, "k int, v double, i int"), [("v", up), ("i", True)])
+    place = lambda v: (v is None, 0.0) if v is None else (False, 1e9 if v != v else v)
+    for n in (1, 2, 30, 200):
+        out = f.partition(lambda g, n=n: g.take_first(n)).by(lambda e: e.k)
+        got = sorted(r["i"] for r in out.to_df().collect())
+        want = []
+        for k in {r[0] for r in rows}:
+            mine = [r for r in rows if r[0] == k]
+            first = (lambda r: (r[1] is not None, place(r[1])[1], r[2])) if up else (lambda r: (r[1] is None, -place(r[1])[1], r[2]))
+            want += [r[2] for r in sorted(mine, key=first)[:n]]
+        assert got == sorted(want), n
+    near = f.partition(lambda g: g.like(g._near_start(2))).by(lambda e: e.k)
+    assert near.to_df().count() < 150
