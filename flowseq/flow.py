@@ -63,6 +63,9 @@ class FlowBase:
         self.frame, self.columns, self.order, self.keys = df, tuple(columns), order, tuple(keys)
         self.source: FlowBase | None = None
         self.steps: tuple = ()
+        # For layouts: what the elements were multiplied from, and whether the frame is in range partitions.
+        self.origin: tuple | None = None
+        self.laid = False
 
     # --- helpers for operators ------------------------------------------------------------
 
@@ -112,6 +115,23 @@ class FlowBase:
             out.append(name)
         return out
 
+    def where(self, condition: Column):
+        """The elements that meet a condition, which are still of the same origin."""
+        out = self.like(self.frame.where(condition))
+        if self.origin:
+            source, order, made = self.origin
+            out.origin = (source, order, lambda df, also=(): made(df, also).where(condition))
+        return out
+
+    def slim(self, columns: list[str], value: Column) -> DataFrame:
+        """The frame with no columns but those named and those that ``value`` is made of."""
+        plan = self.frame.select(value.alias("v"))._jdf.queryExecution().analyzed()
+        if plan.nodeName() != "Project":
+            return self.frame
+        used = plan.references().toSeq()
+        used = {used.apply(i).name() for i in range(used.size())}
+        return self.frame.select(*dict.fromkeys([*columns, *(c for c in self.frame.columns if c in used)]))
+
     def guarded(self) -> FlowBase:
         """The same flow with its order and keys held in hidden columns, so visible ones may go."""
         visible = [n for n in dict.fromkeys([*self.keys, *self.order.names]) if n in self.columns]

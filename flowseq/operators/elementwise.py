@@ -25,7 +25,7 @@ class Elementwise:
     @recorded
     def filter(self, p: Callable[[Any], Column]):
         """Elements for which ``p`` is true; null counts as false."""
-        return self.like(self.frame.where(self.condition(p)))
+        return self.where(self.condition(p))
 
     @recorded
     def flatmap(self, fn: Callable[[Any], Column], name: str = VALUE, keep: tuple[str, ...] = (), pipeline: Callable[[Any], Any] | None = None):
@@ -42,8 +42,14 @@ class Elementwise:
         order = base.order.then((at, True)) if base.order else base.order
         rest = [*keep, *base.hidden]
         # A generator that numbers its items costs nothing more and keeps their order.
-        df = base.frame.select(*rest, F.posexplode(fn(base.element)).alias(at, name)) if order else base.frame.select(*rest, F.explode(fn(base.element)).alias(name))
-        return base.like(df, columns=(*keep, name), order=order)
+        items = fn(base.element)
+        if not order:
+            return base.like(base.frame.select(*rest, F.explode(items).alias(name)), columns=(*keep, name), order=order)
+        made = lambda df, also=(): df.select(*also, *rest, F.posexplode(items).alias(at, name))
+        out = base.like(made(base.frame), columns=(*keep, name), order=order)
+        if not base.keys:
+            out.origin = (base.slim(rest, items), base.order, made)
+        return out
 
     def _flatmap_each(self, fn, name, keep, pipeline):
         base = self.guarded()
@@ -74,7 +80,7 @@ class Elementwise:
 
     def _present(self, name: str):
         """Without empty items: a row filter stays in generated code, a filter over the array does not."""
-        return self.like(self.frame.where(F.col(name) != ""))
+        return self.where(F.col(name) != "")
 
     def flatten(self, name: str = VALUE):
         """The items of array elements."""
@@ -84,7 +90,10 @@ class Elementwise:
     def zip_with_index(self, name: str = "index"):
         """With the 0-based position, counted within each key of a keyed flow."""
         order = self.need_order("zip_with_index")
-        return self.like(Layout(self.frame, order, self.keys).index(name), columns=(name, *self.columns))
+        layout = Layout(self.frame, order, self.keys, origin=self.origin, laid=self.laid)
+        out = self.like(layout.index(name, keep=True), columns=(name, *self.columns))
+        out.laid = not layout.single
+        return out
 
     def inspect(self, observation: Observation, *metrics: Column):
         """Passes everything through and gathers metrics on the way."""

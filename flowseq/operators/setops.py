@@ -64,7 +64,7 @@ class SetOperations:
         order = self.need_order("unique")
         (before,) = self.fresh("p")
         value = by(self.element) if by else self.value_struct()
-        df = Layout(self.frame, order, self.keys).previous(value, before)
+        df = Layout(self.frame, order, self.keys, origin=self.origin, laid=self.laid).previous(value, before)
         return self.like(df.where(F.col(before).isNull() | ~F.col(before)["v"].eqNullSafe(value)).drop(before))
 
     @recorded

@@ -84,3 +84,23 @@ def test_distributed_layout_equals_the_single_task(spark, seed, monkeypatch):
     assert [op(f).to() for op in ops] == single
     assert single[0] == list(enumerate(values))
     assert [k for k, _ in single[2]] == [k for k, _ in itertools.groupby(values)]
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_what_elements_are_made_of_is_partitioned_and_not_they(spark, up, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i if i else None, " ".join(rng.choice(["a", "a", "b", ""]) for _ in range(rng.randrange(12))) if i % 7 else None, "x") for i in range(60)]
+    docs = fs.from_df(spark.createDataFrame(rows, "i int, text string, other string"), [("i", up)])
+    words = lambda: docs.split_text(" ", lambda e: e.text, "w")
+    ops = [
+        lambda: words().zip_with_index("pos"), lambda: words().zip_with_index("pos").unique(by=lambda e: e.w), lambda: words().unique(),
+        lambda: words().zip_with_index("p").filter(lambda e: e.p % 3 > 0).zip_with_index("q"), lambda: words().reverse().zip_with_index(),
+        lambda: words().filter(lambda w: w == "a").zip_with_index("p").zip_with_index("q"), lambda: words().map(lambda w: F.upper(w)).unique(),
+    ]
+    single = [op().to() for op in ops]
+    monkeypatch.setattr(layout, "SINGLE_TASK_BYTES", -1)
+    settled, settle = [], layout.settle
+    monkeypatch.setattr(layout, "settle", lambda df: settled.append(settle(df)) or settled[-1])
+    assert ops[1]().to() == single[1]
+    assert [(df.count(), "other" in df.columns) for df in settled] == [(len(rows), False)]
+    assert [op().to() for op in ops] == single
